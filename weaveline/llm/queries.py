@@ -7,8 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from .exact_dedup import exact_groups
 from .html_text import extract_pages
 from .language_id import identify
+from .ngram_join import link_components
 from .piece_codec import encode_documents
 from .shared import table
+from .suffix_dedup import remove_repeats
 from .token_counts import count_tokens
 from .url_filter import RULES, judge_urls
 
@@ -37,6 +39,10 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_components(table(spark, sf_dir, "documents"))
+
+
 def op8_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), piece_model())
 
@@ -45,8 +51,16 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+#: The queries by name.
+ALL = [op1_exact_dedup, op2_token_counts, op3_url_filter, op5_html_text, op7_ngram_join, op8_piece_codec, op9_language_id, op10_suffix_dedup]
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_token_counts, op3_url_filter, op5_html_text, op8_piece_codec, op9_language_id)}
+    return {f.__name__: f for f in ALL}
 
 
 AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
