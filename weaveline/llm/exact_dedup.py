@@ -94,28 +94,31 @@ class Chain:
     """Texts under one key: collisions are chained and told apart by their bytes."""
 
     def __init__(self):
-        self.entries: list[list] = []  # text, largest id, rows
+        self.entries: list[list] = []  # text, largest id, rows, rows with that id
 
-    def add(self, text: bytes, doc_id: int | None, rows: int) -> None:
+    def add(self, text: bytes, doc_id: int | None, rows: int, ties: int) -> None:
         for entry in self.entries:
             if entry[0] == text:
-                entry[1] = doc_id if entry[1] is None else entry[1] if doc_id is None else max(entry[1], doc_id)
+                if entry[1] == doc_id:
+                    entry[3] += ties
+                elif entry[1] is None or (doc_id is not None and doc_id > entry[1]):
+                    entry[1], entry[3] = doc_id, ties
                 entry[2] += rows
                 return
-        self.entries.append([text, doc_id, rows])
+        self.entries.append([text, doc_id, rows, ties])
 
 
 def key_of(text: bytes) -> int:
     return int.from_bytes(hashlib.sha256(text).digest()[:8], "big") >> (64 - KEY_BITS)
 
 
-ENTRY = "bucket long, key long, text binary, id long, n long"
-INDEX = "bucket long, key long, chain int, text_sha256 string, keep_id long, group_size long"
+ENTRY = "bucket long, key long, text binary, id long, n long, ties long"
+INDEX = "bucket long, key long, chain int, text_sha256 string, keep_id long, group_size long, n_keep long"
 
 
 def _entries(found: list) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), kinds)], ["bucket", "key", "text", "id", "n"])
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), kinds)], ["bucket", "key", "text", "id", "n", "ties"])
 
 
 def fold_copies(starts: np.ndarray, flush_bytes: int = 32 << 20):
@@ -138,7 +141,7 @@ def fold_copies(starts: np.ndarray, flush_bytes: int = 32 << 20):
                 if key not in table:
                     table[key] = Chain()
                     held += len(text) + 200
-                table[key].add(text, doc_id, 1)
+                table[key].add(text, doc_id, 1, 1)
                 if held > flush_bytes:
                     yield from drain()
                     held = 0
@@ -149,20 +152,20 @@ def fold_copies(starts: np.ndarray, flush_bytes: int = 32 << 20):
 
 def own_buckets(batches):
     """mapInArrow function of an owner task: rows come by bucket and key; each key's chain is closed in turn."""
-    names = ["bucket", "key", "chain", "text_sha256", "keep_id", "group_size"]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64()]
+    names = ["bucket", "key", "chain", "text_sha256", "keep_id", "group_size", "n_keep"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
     at, chain, out = None, Chain(), []
 
     def close():
-        out.extend((*at, i, hashlib.sha256(e[0]).hexdigest(), e[1], e[2]) for i, e in enumerate(chain.entries))
+        out.extend((*at, i, hashlib.sha256(e[0]).hexdigest(), e[1], e[2], e[3]) for i, e in enumerate(chain.entries))
 
     for batch in batches:
-        for bucket, key, text, doc_id, n in zip(*(c.to_pylist() for c in batch.columns)):
+        for bucket, key, text, doc_id, n, ties in zip(*(c.to_pylist() for c in batch.columns)):
             if (bucket, key) != at:
                 if at:
                     close()
                 at, chain = (bucket, key), Chain()
-            chain.add(text, doc_id, n)
+            chain.add(text, doc_id, n, ties)
         if len(out) > 5000:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
             out = []
@@ -192,8 +195,22 @@ def build_index(docs: DataFrame, bucket_bytes: int = 2 << 20, most_buckets: int
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), **options) -> DataFrame:
-    """id, keep_id, group_size, kept, text_sha256 for every row (and the columns named in keep)."""
-    index = build_index(docs, id_col=id_col, text_col=text_col, **options).select("text_sha256", "keep_id", "group_size")
+    """id, keep_id, group_size, kept, text_sha256, n_keep for every row (and the columns named in keep).
+
+    n_keep: rows that carry the keep_id with this text; above 1 only where rows repeat.
+    """
+    index = build_index(docs, id_col=id_col, text_col=text_col, **options).select("text_sha256", "keep_id", "group_size", "n_keep")
     rows = docs.select(F.col(id_col).alias("__id"), F.sha2(fold_ascii(F.col(text_col)).cast("binary"), 256).alias("__sha"), *[F.col(c).alias(f"__k{i}") for i, c in enumerate(keep)])
     out = rows.join(index, F.col("__sha") == F.col("text_sha256"))
-    return out.select(F.col("__id").alias(id_col), "keep_id", "group_size", F.col("__id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", *[F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)])
+    return out.select(F.col("__id").alias(id_col), "keep_id", "group_size", F.col("__id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "n_keep", *[F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)])
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs that stay, one of each group of equal texts, with all their columns."""
+    packed = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("__text"), F.struct(*docs.columns).alias("__row"))
+    groups = exact_groups(packed, "__doc", "__text", keep=("__row",), **options).where("kept")
+    once = groups.where("n_keep = 1").select("__row.*")
+    tied = groups.where("n_keep > 1")
+    if not tied.take(1):
+        return once
+    return once.union(tied.dropDuplicates(["text_sha256"]).select("__row.*"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chain_dedup import fuzzy_passages
+from .decontaminate import contaminated
 from .exact_dedup import exact_groups
 from .html_text import extract_pages
 from .language_id import identify
@@ -35,10 +37,18 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), spark.createDataFrame(RULES, "host string, path string, verdict string"))
 
 
+def op4_chain_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy_passages(table(spark, sf_dir, "documents"))
+
+
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_components(table(spark, sf_dir, "documents"))
 
@@ -56,7 +66,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The queries by name.
-ALL = [op1_exact_dedup, op2_token_counts, op3_url_filter, op5_html_text, op7_ngram_join, op8_piece_codec, op9_language_id, op10_suffix_dedup]
+ALL = [op1_exact_dedup, op2_token_counts, op3_url_filter, op4_chain_dedup, op5_html_text, op6_decontaminate, op7_ngram_join, op8_piece_codec, op9_language_id, op10_suffix_dedup]
 
 
 def queries() -> dict:
@@ -67,9 +77,10 @@ AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 OP1 = f"""
 WITH d AS (SELECT doc_id, translate(coalesce(text, ''), {AZ}) AS t FROM documents),
-g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
+m AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t),
+g AS (SELECT m.*, (SELECT count(*) FROM d WHERE d.t = m.t AND d.doc_id IS NOT DISTINCT FROM m.keep_id) AS n_keep FROM m)
 SELECT d.doc_id, g.keep_id, CAST(g.group_size AS BIGINT) AS group_size,
-       d.doc_id IS NOT DISTINCT FROM g.keep_id AS kept, sha256(d.t) AS text_sha256
+       d.doc_id IS NOT DISTINCT FROM g.keep_id AS kept, sha256(d.t) AS text_sha256, CAST(g.n_keep AS BIGINT) AS n_keep
 FROM d JOIN g ON d.t = g.t
 """
 
