@@ -35,6 +35,8 @@ from .word_sets import sets_of
 TOKEN, MEMBER, SIZE, COPY = range(4)
 #: Tenths of a set's n-grams that are sent; at least its prefix, which is two tenths and one.
 SENT = 3
+#: How often documents that have been shown to stand alone are taken out; more rounds save work only.
+PRUNINGS = 3
 ROW = "kind int, key long, value long"
 TOP = np.uint64(1) << np.uint64(63)
 
@@ -159,37 +161,37 @@ def _spanning(batches):
 
 def _join_groups(batches):
     """mapInArrow function of step 4: rows sorted by cluster and block pair; links of each group."""
-    at, ids, comps, sets = None, [], [], []
+    at, ids, comps, texts = None, [], [], []
 
     def close():
         place: dict[int, int] = {}
         known = [place.setdefault(c, i) for i, c in enumerate(comps)]
-        label = join_block(sets, known)
+        label = join_block(sets_of(texts), known)
         pairs = {(ids[i], ids[r]) for i, r in enumerate(label) if i != r}
         if pairs:
             a, b = zip(*sorted(pairs))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     for batch in batches:
-        for cluster, i, j, doc, comp, keys in zip(*(c.to_pylist() for c in batch.columns)):
+        for cluster, i, j, doc, comp, text in zip(*(c.to_pylist() for c in batch.columns)):
             if (cluster, i, j) != at:
                 if len(ids) > 1:
                     yield from close()
-                at, ids, comps, sets = (cluster, i, j), [], [], []
+                at, ids, comps, texts = (cluster, i, j), [], [], []
             if not ids or ids[-1] != doc:
                 ids.append(doc)
                 comps.append(comp)
-                sets.append(np.frombuffer(keys, np.uint64))
+                texts.append(text or b"")
     if len(ids) > 1:
         yield from close()
 
 
 def _exact(members: DataFrame, block_bytes: int) -> DataFrame:
-    """Links (a, b) among members (cluster, doc, comp, keys) of each cluster."""
-    sizes = members.groupBy("cluster").agg(F.ceil(F.sum(F.length("keys") + 200) / block_bytes).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1")
+    """Links (a, b) among members (cluster, doc, comp, t) of each cluster."""
+    sizes = members.groupBy("cluster").agg(F.ceil(F.sum(F.length("t") + 200) / block_bytes).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1")
     rows = members.join(sizes, "cluster").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("with", F.explode(F.when(F.col("blocks") <= 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
-    rows = rows.select("cluster", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "doc", "comp", "keys")
+    rows = rows.select("cluster", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "doc", "comp", "t")
     width = shuffle_width(members.sparkSession)
     return rows.repartition(width, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "doc").mapInArrow(_join_groups, "a long, b long")
 
@@ -210,34 +212,31 @@ def link_components(docs: DataFrame, block_bytes: int = 24 << 20, id_col: str =
     spare = F.least(n, F.floor(n * SENT / 10).cast("long") + 2) - F.col("spanning")  # n-grams sent that no other component holds
     prefix = n - F.ceil(n * 4 / 5).cast("long") + 1
     member, tokens = of(MEMBER, "id", "comp"), of(TOKEN, "token", "comp")
-    single = tokens.groupBy("comp").agg(F.count("*").alias("spanning")).join(of(SIZE, "comp", "n").distinct(), "comp")
     many = member.select("comp").distinct().withColumn("many", F.lit(True))
-    stays = publish(single.join(many, "comp", "left").where(F.col("many") | (spare < prefix)).select("comp").distinct(), "ngram-stays")
-    tokens = publish(tokens.join(stays, "comp").select("token", "comp"), "ngram-tokens")
+    sizes = of(SIZE, "comp", "n").distinct()
+
+    def apart(tokens: DataFrame) -> DataFrame:
+        """N-grams that several components hold, each row with the first of them."""
+        return tokens.join(tokens.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("token", "low"), "token")
 
     def cluster(tokens: DataFrame, label: str) -> DataFrame:
-        apart = tokens.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("token", "low")
-        edges = tokens.join(apart, "token").select(F.col("comp").alias("a"), F.col("low").alias("b"))
+        edges = tokens.select(F.col("comp").alias("a"), F.col("low").alias("b"))
         return publish(components(edges, label).select(F.col("node").alias("comp"), F.col("root").alias("cluster")), label)
 
+    for _ in range(PRUNINGS):  # each document that leaves takes n-grams with it that may have tied others
+        held = tokens.groupBy("comp").agg(F.count("*").alias("spanning")).join(sizes, "comp").join(many, "comp", "left")
+        stays = held.where(F.col("many") | (spare < prefix)).select("comp").distinct()
+        tokens = publish(apart(tokens.select("token", "comp").join(stays, "comp")).select("token", "comp", "low"), "ngram-tokens")
+
     clusters = cluster(tokens, "ngram-clusters")
     wanted = clusters.join(member, "comp").select("id", "comp", "cluster").union(clusters.select(F.col("comp").alias("id"), "comp", "cluster"))
-
-    def keys_of(batches):
-        order_here = Order(order.value)
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 500):
-                batch = whole.slice(lo, 500)
-                packed = [order_here.keys(s).tobytes() for s in sets_of([t or b"" for t in batch.column(3).to_pylist()])]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(packed, pa.binary())], ["doc", "comp", "cluster", "keys"])
-
-    members = publish(wanted.join(rows, "id").select("id", "comp", "cluster", "t").mapInArrow(keys_of, "doc long, comp long, cluster long, keys binary"), "ngram-members")
+    members = publish(wanted.join(rows, "id").select(F.col("id").alias("doc"), "comp", "cluster", "t"), "ngram-members")
 
     first = publish(_exact(members.where("doc = comp"), block_bytes), "ngram-links")
     roots = components(first, "ngram-round1")
     named = lambda df: df.join(roots, F.col("comp") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "comp")).drop("node", "root")
-    again = cluster(named(tokens), "ngram-again")
-    rest = named(members.drop("cluster")).join(again, "comp").select("cluster", "doc", "comp", "keys")
+    again = cluster(apart(named(tokens.drop("low"))), "ngram-again")
+    rest = named(members.drop("cluster")).join(again, "comp").select("cluster", "doc", "comp", "t")
     second = _exact(rest, block_bytes)
 
     links = first.union(second).union(of(MEMBER, "a", "b")).union(of(COPY, "a", "b"))
