@@ -1,2 +1,683 @@
+"""Queries over the record-linkage operators, each with the SQL that DuckDB checks it by, where SQL can express it."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from weaveline.functions import normalize as N
+from weaveline.functions import strings as S
+from weaveline.functions import words as W
+from weaveline.operators import blocking as B
+from weaveline.operators import decide as D
+from weaveline.operators import matcher as M
+from weaveline.operators import pairs as P
+from weaveline.operators import records as R
+from weaveline.plans import views as V
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+SUFFIX = "CASE p_partkey % 7 " + " ".join(f"WHEN {i} THEN '{s}'" for i, s in enumerate(V.SUFFIXES)) + " END"
+ENT = f"""ent AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 5 = 0 THEN 1 WHEN p_partkey % 5 IN (1, 2) THEN 2 ELSE 3 END AS src,
+  p_type AS country, p_brand, p_name || {SUFFIX} AS name, p_size || '-' || p_partkey % 3 || ' ' || p_brand || ' St, ' || p_type AS addr FROM part)"""
+DOT = "replace(replace(lower(name), 'l.l.c.', 'llc'), 'p.c.', 'pc')"
+REC = f"""{ENT}, rec AS (SELECT id, src, country, p_brand, name, addr,
+  array_to_string(regexp_extract_all({DOT}, '[a-z0-9]+'), ' ') AS nf,
+  array_to_string(list_filter(regexp_extract_all({DOT}, '[a-z0-9]+'), lambda t: t NOT IN ('pvt', 'ltd', 'llc', 'group', 'co', 'inc', 'india')), ' ') AS nc,
+  array_to_string(regexp_extract_all(lower(addr), '[a-z0-9]+'), ' ') AS af,
+  -- a number glued to the next by a dash or slash; tokens that letters follow don't end a number
+  array_to_string(list_transform(list_filter(regexp_extract_all(regexp_replace(lower(addr), '([0-9a-z])[-/]([0-9a-z])', '\\1\\2', 'g'), '[a-z0-9]+'), lambda t: regexp_matches(t, '[0-9][a-z]?$')),
+    lambda t: regexp_replace(regexp_extract(t, '([0-9]+[a-z]?)$', 1), '^0+([0-9])', '\\1')), ' ') AS nj,
+  regexp_replace(regexp_extract(lower(addr), '^([0-9]+)', 1), '^0+([0-9])', '\\1') AS hn FROM ent)"""
+CAND = f"""{REC}, cand AS (SELECT a.country, a.id AS s1, b.id AS cand, b.src AS src_b, a.nf AS nf_a, b.nf AS nf_b, a.nc AS nc_a, b.nc AS nc_b,
+  a.af AS af_a, b.af AS af_b, a.hn AS hn_a, b.hn AS hn_b, a.nj AS nj_a, b.nj AS nj_b,
+  list_filter(string_split(a.nj, ' '), lambda t: t <> '') AS ja, list_filter(string_split(b.nj, ' '), lambda t: t <> '') AS jb
+  FROM rec a JOIN rec b ON a.country = b.country AND a.p_brand = b.p_brand AND a.src = 1 AND b.src > 1)"""
+SP = """sp AS (SELECT l_partkey AS s1, l_orderkey * 10 + l_linenumber AS cand, 0.9 * pow(max(l_quantity) / 51, 2) AS p,
+  max(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS y FROM lineitem GROUP BY ALL),
+sp2 AS (SELECT s1, cand, p * (0.8 + (cand % 5) * 0.05) AS p, y FROM sp),
+truth AS (SELECT s1, cand FROM sp WHERE y = 1), ids AS (SELECT DISTINCT s1, 'C' || s1 % 3 AS country FROM sp)"""
+EMB = """emb AS (SELECT vec_id AS id, 'C' || label % 3 AS country, embedding AS v, label, vec_id % 5 = 0 AS is_s1 FROM embeddings),
+sim AS (SELECT a.id AS s1, b.id AS cand, a.label = b.label AS y, list_sum(list_transform(range(1, 65), lambda i: CAST(a.v[i] AS DOUBLE) * b.v[i])) AS cos
+  FROM emb a JOIN emb b ON a.country = b.country AND a.is_s1 AND NOT b.is_s1),
+fwd AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY s1 ORDER BY round(cos, 9) DESC, cand) AS frank FROM sim) WHERE frank <= 8),
+rev AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cand ORDER BY round(cos, 9) DESC, s1) AS rrank FROM sim) WHERE rrank <= 3),
+merged AS (SELECT coalesce(f.s1, r.s1) AS s1, coalesce(f.cand, r.cand) AS cand, coalesce(f.cos, r.cos) AS cos, coalesce(frank, 9) AS frank, coalesce(rrank, 4) AS rrank
+  FROM fwd f FULL OUTER JOIN rev r ON f.s1 = r.s1 AND f.cand = r.cand),
+m AS (SELECT merged.*, (SELECT max(cos) FROM fwd WHERE fwd.s1 = merged.s1) AS s1_top, (SELECT max(cos) FROM rev WHERE rev.cand = merged.cand) AS c_top FROM merged)"""
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def owned(table: str, extra: str = "") -> str:
+    return f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {extra}cand ORDER BY p DESC, s1) AS own FROM {table}) WHERE own = 1)"
+
+
+def chosen(table: str, extra: str = "") -> str:
+    """SQL of the expected-F0.5 selection over a table (extra..., s1, cand, p)."""
+    return f"""(SELECT {extra}s1, cand FROM (SELECT *, max(ef) OVER g AS best, min(CASE WHEN ef = top THEN k END) OVER g AS upto FROM (SELECT *, max(ef) OVER (PARTITION BY {extra}s1) AS top FROM (
+  SELECT *, 1.25 * cum / (0.25 * tot + k) AS ef FROM (SELECT *, sum(p) OVER (PARTITION BY {extra}s1 ORDER BY p DESC, cand ROWS UNBOUNDED PRECEDING) AS cum, sum(p) OVER (PARTITION BY {extra}s1) AS tot,
+  row_number() OVER (PARTITION BY {extra}s1 ORDER BY p DESC, cand) AS k, exp(sum(ln(1 - p)) OVER (PARTITION BY {extra}s1)) AS none FROM {owned(table, extra)}))) WINDOW g AS (PARTITION BY {extra}s1)) WHERE k <= upto AND best > none)"""
+
+
+def f05_sql(pred: str, extra: str = "", ids: str = "ids") -> str:
+    on = "i.s1 = x.s1" + (" AND i.a = x.a AND i.b = x.b" if extra else "")
+    cols = "a, b, " if extra else ""
+    return f"""(SELECT i.*, coalesce(x.tp, 0) AS tp, coalesce(x.np, 0) AS np, coalesce(t.nt, 0) AS nt,
+  CASE WHEN coalesce(x.np, 0) = 0 AND coalesce(t.nt, 0) = 0 THEN 1.0 WHEN coalesce(x.tp, 0) = 0 THEN 0.0
+  ELSE 1.25 * (x.tp / x.np) * (x.tp / t.nt) / (0.25 * (x.tp / x.np) + x.tp / t.nt) END AS f
+  FROM {ids} i LEFT JOIN (SELECT {cols}p.s1, count(t.s1) AS tp, count(*) AS np FROM {pred} p LEFT JOIN truth t ON p.s1 = t.s1 AND p.cand = t.cand GROUP BY ALL) x ON {on}
+  LEFT JOIN (SELECT s1, count(*) AS nt FROM truth GROUP BY s1) t ON i.s1 = t.s1)"""
+
+
+r6 = lambda *cs: [F.round(c, 6).alias(c) for c in cs]
+
+
+def truth_of(sp):
+    return sp.where("y = 1").select("s1", "cand")
+
+
+# ---------------------------------------------------------------- records, sources, lists
+@query(f"WITH {ENT} SELECT 'S' || src || '-' || id AS ext, CAST(src * 10000000000 + id AS BIGINT) AS num, 'S' || src || '-' || id AS back FROM ent")
+def id_codec(spark, d):
+    e = V.entities(spark, d).select(F.concat(F.lit("S"), F.col("src").cast("string"), F.lit("-"), F.col("id").cast("string")).alias("ext"))
+    return e.withColumn("num", R.id_to_int(F.col("ext"))).withColumn("back", R.int_to_id(F.col("num")))
+
+
+@query("SELECT DISTINCT CAST(10000000000 + l_orderkey AS BIGINT) AS s1, CAST(20000000000 + l_partkey AS BIGINT) AS cand FROM lineitem")
+def gt_explode(spark, d):
+    li = V.read(spark, d, "lineitem").groupBy(F.concat(F.lit("S1-"), F.col("l_orderkey").cast("string")).alias("k")).agg(F.array_join(F.collect_set(F.concat(F.lit("S2-"), F.col("l_partkey").cast("string"))), ",").alias("c"))
+    return R.explode_truth(li, "k", "c")
+
+
+@query(f"WITH {SP} SELECT ids.s1, coalesce(string_agg(CAST(x.cand AS VARCHAR), ',' ORDER BY x.cand), '') AS matched FROM ids LEFT JOIN {owned('sp')} x ON ids.s1 = x.s1 AND x.p > 0.5 GROUP BY ids.s1")
+def result_lists(spark, d):
+    sp = V.scored_pairs(spark, d)
+    return R.result_lists(D.threshold(sp, 0.5 + 1e-12), sp.select("s1").distinct())
+
+
+@query(f"WITH {ENT} SELECT id, 'query: ' || name || ' | ' || addr AS text FROM ent")
+def embed_text(spark, d):
+    return V.entities(spark, d).select("id", F.concat(F.lit("query: "), "name", F.lit(" | "), "addr").alias("text"))
+
+
+@query("SELECT role, count(*) AS n FROM (SELECT CASE WHEN k <= 200 THEN 'val' WHEN k <= 700 THEN 'trn' WHEN k <= 1000 THEN 'ft' ELSE 'unused' END AS role FROM (SELECT row_number() OVER (ORDER BY md5('roles' || o_orderkey), o_orderkey) AS k FROM orders)) GROUP BY role")
+def roles_split(spark, d):
+    return R.split_roles(V.read(spark, d, "orders"), "o_orderkey", {"val": 200, "trn": 500, "ft": 300}).groupBy("role").agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderkey AS s1, CAST(o_orderkey % 4 AS INTEGER) AS fold FROM orders")
+def folds(spark, d):
+    return V.read(spark, d, "orders").select(F.col("o_orderkey").alias("s1"), R.fold(F.col("o_orderkey"), 4).alias("fold"))
+
+
+@query("SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY md5('one' || o_orderkey), o_orderkey) AS k FROM orders) WHERE k = 1")
+def one_per_group(spark, d):
+    return R.first_per_group(V.read(spark, d, "orders"), "o_custkey", "o_orderkey").select("o_custkey", "o_orderkey")
+
+
+@query("SELECT o_custkey, o_orderkey FROM orders WHERE o_custkey % 10 < 3")
+def group_sample(spark, d):
+    return R.sample_groups(V.read(spark, d, "orders"), "o_custkey", 3, 10).select("o_custkey", "o_orderkey")
+
+
+# ---------------------------------------------------------------- normalisation
+@query(r"SELECT doc_id, regexp_matches(text, '[^\x00-\x{02FF}\x{2000}-\x{206F}\x{20AC}\x{2116}]') AS nl, replace(replace(text, chr(8203), ''), chr(65279), '') = text AS same FROM documents")
+def nonlatin_flag(spark, d):
+    return V.read(spark, d, "documents").select("doc_id", N.non_latin(F.col("text")).alias("nl"), (N.zero_width(F.col("text")) == F.col("text")).alias("same"))
+
+
+@query("SELECT doc_id, md5(strip_accents(replace(replace(replace(text, 'ß', 'ss'), 'œ', 'oe'), 'æ', 'ae'))) AS folded FROM documents")
+def ascii_fold(spark, d):
+    return V.read(spark, d, "documents").select("doc_id", F.md5(N.ascii_fold(F.col("text")).cast("binary")).alias("folded"))
+
+
+ABBR = "CASE t " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in W.NAME_ABBR.items()) + " ELSE t END"
+IN = lambda ws: ", ".join(f"'{w}'" for w in ws)
+FULL = f"""full_t AS (SELECT id, list_transform(list_filter(regexp_extract_all(replace({DOT}, '&', ' and '), '[a-z0-9]+'), lambda t: t NOT IN ({IN(W.HONOR)})), lambda t: {ABBR}) AS raw FROM ent),
+names AS (SELECT id, list_filter(raw, lambda t, i: i = 1 OR raw[i - 1] <> t) AS ts FROM full_t),
+cores AS (SELECT id, ts, list_filter(ts, lambda t: t NOT IN ({IN(W.LEGAL)})) AS c FROM names)"""
+
+
+@query(f"WITH {ENT}, {FULL} SELECT id, array_to_string(ts, ' ') AS nf, array_to_string(CASE WHEN len(c) > 0 THEN c ELSE ts END, ' ') AS nc FROM cores")
+def norm_name(spark, d):
+    full, _ = N.name_tokens(F.col("name"))
+    return V.entities(spark, d).select("id", full.alias("t")).select("id", F.array_join("t", " ").alias("nf"), F.array_join(N.core_tokens(F.col("t")), " ").alias("nc"))
+
+
+@query(f"WITH {ENT} SELECT id, {DOT} AS dotted FROM ent")
+def dotted(spark, d):
+    return V.entities(spark, d).select("id", N.join_dotted(F.lower("name")).alias("dotted"))
+
+
+HOST = "regexp_extract(url, '://([^/?#]*)', 1)"
+
+
+@query(rf"SELECT page_id, regexp_extract({HOST}, '^(?:www\.)?([a-z0-9-]+)\.(?:com|net|org|co\.in|in|co|fr|us|biz|info|io)$', 1) AS label FROM pages")
+def domain_flag(spark, d):
+    return V.read(spark, d, "pages").select("page_id", N.domain_label(F.regexp_extract("url", "://([^/?#]*)", 1)).alias("label"))
+
+
+@query(f"WITH {REC} SELECT id, nj, hn FROM rec")
+def addr_numbers(spark, d):
+    return V.entities(spark, d).select("id", F.array_join(N.joined_numbers(F.lower("addr")), " ").alias("nj"), N.house_number(F.col("addr")).alias("hn"))
+
+
+@query(f"WITH {ENT} SELECT id, CASE id % 3 WHEN 1 THEN 'odisha' ELSE 'or' END AS state FROM ent")
+def state_map(spark, d):
+    e = V.entities(spark, d).withColumn("c", F.element_at(F.array(F.lit("US"), F.lit("India"), F.lit("France")), (F.col("id") % 3 + 1).cast("int")))
+    return e.select("id", N.address_text(F.lit("OR."), F.col("c")).alias("s")).select("id", F.rtrim(F.regexp_replace("s", r"\.$", "")).alias("state"))
+
+
+@query(f"WITH {REC} SELECT id, array_to_string(list_transform(string_split(af, ' '), lambda t: CASE t WHEN 'st' THEN 'street' ELSE regexp_replace(t, '^0+([0-9])', '\\1') END), ' ') AS af FROM rec")
+def norm_addr(spark, d):
+    return V.entities(spark, d).select("id", F.array_join(N.address_tokens(N.address_text(F.col("addr"), F.lit("US")), F.lit("US")), " ").alias("af"))
+
+
+@query()
+def normalize_records(spark, d):
+    return N.normalize_records(V.entities(spark, d)).select("id", "nf", "nc", "dom", "af", "nj", "ns", "nl_name", "nl_addr", "hn")
+
+
+NATIVE = """vt AS (SELECT p_partkey AS id, string_split(p_name, ' ') AS latin, list_transform(string_split(p_name, ' '), lambda t: 'n' || reverse(t)) AS native FROM part)"""
+
+
+def _native(spark, d):
+    t = F.split("p_name", " ")
+    return V.read(spark, d, "part").select(t.alias("latin"), F.transform(t, lambda x: F.concat(F.lit("n"), F.reverse(x))).alias("native"))
+
+
+@query(f"WITH {NATIVE}, v AS (SELECT unnest(native) AS token, unnest(latin) AS target FROM vt), c AS (SELECT token, target, count(*) AS n FROM v GROUP BY ALL) SELECT token, target, n FROM (SELECT *, sum(n) OVER (PARTITION BY token) AS total, row_number() OVER (PARTITION BY token ORDER BY n DESC, target) AS k FROM c) WHERE k = 1 AND n >= 2 AND n >= 0.5 * total")
+def map_votes(spark, d):
+    return P.alignment_votes(_native(spark, d))
+
+
+@query(f"""WITH {NATIVE}, p AS (SELECT id, list_distinct(native) AS t, list_distinct(latin) AS w FROM vt), e AS (SELECT id, unnest(t) AS t, w FROM p), b AS (SELECT t, unnest(w) AS w FROM e),
+n AS (SELECT t, w, count(*) AS n FROM b GROUP BY ALL HAVING count(*) >= 3), ct AS (SELECT t, count(*) AS c FROM (SELECT unnest(t) AS t FROM p) GROUP BY t), cw AS (SELECT w, count(*) AS c FROM (SELECT unnest(w) AS w FROM p) GROUP BY w),
+s AS (SELECT n.t, n.w, n.n, n.n * n.n / (ct.c * cw.c) AS score FROM n JOIN ct ON n.t = ct.t JOIN cw ON n.w = cw.w)
+SELECT t, w, n, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY score DESC, w) AS k FROM s) WHERE k = 1""")
+def map_components(spark, d):
+    return P.component_map(_native(spark, d)).select("t", "w", "n", *r6("score"))
+
+
+# ---------------------------------------------------------------- blocking
+def _sides(spark, d):
+    v = V.vectors(spark, d)
+    return v.where("is_s1"), v.where(~F.col("is_s1"))
+
+
+def _directions(spark, d):
+    s = B.scores(*_sides(spark, d))
+    back = s.select("country", F.col("b").alias("a"), F.col("a").alias("b"), "cos")
+    return B.top_k(s, "a", "b", 8, "frank"), B.top_k(back, "a", "b", 3, "rrank").select(F.col("b").alias("a"), F.col("a").alias("b"), "cos", "rrank")
+
+
+@query(f"WITH {EMB} SELECT s1, cand, frank AS rank, round(cos, 6) AS cos FROM fwd")
+def knn_forward(spark, d):
+    return _directions(spark, d)[0].select(F.col("a").alias("s1"), F.col("b").alias("cand"), F.col("frank").cast("long").alias("rank"), *r6("cos"))
+
+
+@query(f"WITH {EMB} SELECT s1, cand, frank AS rank, round(cos, 6) AS cos FROM fwd")
+def knn_blocks(spark, d):
+    return B.block_top_k(*_sides(spark, d), 8, 4, 4).select(F.col("a").alias("s1"), F.col("b").alias("cand"), F.col("rank").cast("long").alias("rank"), *r6("cos"))
+
+
+@query(f"WITH {EMB} SELECT s1, cand, rrank AS rank, round(cos, 6) AS cos FROM rev")
+def knn_reverse(spark, d):
+    return _directions(spark, d)[1].select(F.col("a").alias("s1"), F.col("b").alias("cand"), F.col("rrank").cast("long").alias("rank"), *r6("cos"))
+
+
+def _merged(spark, d):
+    return B.merge_directions(*_directions(spark, d), 8, 3)
+
+
+@query(f"WITH {EMB} SELECT s1, cand, CAST(frank AS BIGINT) AS frank, CAST(rrank AS BIGINT) AS rrank, round(cos, 6) AS cos, round(s1_top, 6) AS s1_top, round(c_top, 6) AS c_top FROM m")
+def knn_merge(spark, d):
+    return _merged(spark, d).select("s1", "cand", F.col("frank").cast("long").alias("frank"), F.col("rrank").cast("long").alias("rrank"), *r6("cos", "s1_top", "c_top"))
+
+
+@query(f"WITH {EMB} SELECT s1, cand, round(s1_top - cos, 6) AS gap_s1, round(c_top - cos, 6) AS gap_c FROM m")
+def retrieval_gaps(spark, d):
+    return _merged(spark, d).select("s1", "cand", F.round(F.col("s1_top") - F.col("cos"), 6).alias("gap_s1"), F.round(F.col("c_top") - F.col("cos"), 6).alias("gap_c"))
+
+
+@query(f"WITH {EMB} SELECT s1, cand, CAST(least(frank, 5) AS BIGINT) AS frank FROM m WHERE frank <= 4 OR rrank <= 1")
+def knn_prune(spark, d):
+    return B.prune(_merged(spark, d), 4, 1).select("s1", "cand", F.least("frank", F.lit(5)).cast("long").alias("frank"))
+
+
+@query(f"""WITH {EMB}, t AS (SELECT s1, cand FROM sim WHERE y), j AS (SELECT t.*, m.frank FROM t LEFT JOIN m ON t.s1 = m.s1 AND t.cand = m.cand)
+SELECT 'fwd@1' AS measure, round(avg(CASE WHEN frank <= 1 THEN 1.0 ELSE 0.0 END), 6) AS recall FROM j UNION ALL SELECT 'fwd@5', round(avg(CASE WHEN frank <= 5 THEN 1.0 ELSE 0.0 END), 6) FROM j
+UNION ALL SELECT 'union', round(avg(CASE WHEN frank IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) FROM j""")
+def blocking_recall(spark, d):
+    a, b = _sides(spark, d)
+    truth = a.select(F.col("id").alias("s1"), "label").join(b.select(F.col("id").alias("cand"), "label"), "label").select("s1", "cand")
+    return B.recall(_merged(spark, d), truth, [1, 5]).select("measure", *r6("recall"))
+
+
+@query()
+def embed_hash_knn(spark, d):
+    docs = V.read(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("id"), F.col("lang").alias("country"), F.lower("text").alias("t"))
+    v = B.hash_embed(docs, "t")
+    return B.block_top_k(v.where("id % 50 = 0"), v, 5, 2, 8).select(F.col("a").alias("doc_id"), F.col("b").alias("near_id"), "rank", *r6("cos"))
+
+
+# ---------------------------------------------------------------- record statistics and pair features
+TOK = "list_filter(string_split({0}, ' '), lambda t: t <> '')"
+
+
+@query(f"WITH {REC}, t AS (SELECT unnest(list_distinct({TOK.format('nc')})) AS token FROM rec) SELECT token, count(*) AS df, round(ln((SELECT count(*) FROM rec) / count(*)), 6) AS idf FROM t GROUP BY token")
+def idf_name(spark, d):
+    return P.idf(V.simple_records(spark, d), "nc").select("token", "df", *r6("idf"))
+
+
+@query(f"""WITH {REC} SELECT id, (SELECT count(*) FROM rec r WHERE r.country = rec.country AND r.nc = rec.nc AND r.src = 1) AS fq_n1, (SELECT count(*) FROM rec r WHERE r.country = rec.country AND r.nc = rec.nc AND r.src > 1) AS fq_n23,
+(SELECT count(*) FROM rec r WHERE r.country = rec.country AND r.af = rec.af AND r.src = 1) AS fq_a1, (SELECT count(*) FROM rec r WHERE r.country = rec.country AND r.af = rec.af AND r.src > 1) AS fq_a23 FROM rec""")
+def freq_counts(spark, d):
+    return P.frequencies(V.simple_records(spark, d))
+
+
+LCS = """CAST(list_extract(list_reduce(list_prepend(list_transform(range(0, CAST(length({b}) AS BIGINT) + 1), lambda x: CAST(0 AS BIGINT)), list_transform(string_split({a}, ''), lambda c: [CAST(unicode(c) AS BIGINT)])),
+ lambda prev, c: list_reduce(list_prepend([CAST(0 AS BIGINT)], list_transform(range(1, CAST(length({b}) AS BIGINT) + 1), lambda j: [j])), lambda done, j: list_append(done, greatest(done[len(done)], prev[j[1] + 1], prev[j[1]] + CASE WHEN unicode(substr({b}, j[1], 1)) = c[1] THEN 1 ELSE 0 END)))), -1) AS BIGINT)"""
+
+
+@query(f"WITH {CAND}, z AS (SELECT *, {LCS.format(a='nc_a', b='nc_b')} AS l FROM cand) SELECT s1, cand, l AS lcs, round(200.0 * l / (length(nc_a) + length(nc_b)), 6) AS ratio FROM z")
+def ratio(spark, d):
+    c = V.candidates(spark, d)
+    both = F.length("nc_a") + F.length("nc_b")
+    return c.select("s1", "cand", F.round(S.score("ratio", F.col("nc_a"), F.col("nc_b")) * both / 200).cast("long").alias("lcs"), F.round(S.score("ratio", F.col("nc_a"), F.col("nc_b")), 6).alias("ratio"))
+
+
+@query(f"WITH {CAND} SELECT s1, cand, {LCS.format(a='nc_a', b='nc_b')} AS lcs FROM cand")
+def lcs_native(spark, d):
+    return V.candidates(spark, d).select("s1", "cand", S.lcs_column(F.col("nc_a"), F.col("nc_b")).cast("long").alias("lcs"))
+
+
+def _sorted(c):
+    return f"array_to_string(list_sort({TOK.format(c)}), ' ')"
+
+
+@query(f"WITH {CAND}, q AS (SELECT s1, cand, {_sorted('nf_a')} AS x, {_sorted('nf_b')} AS y FROM cand), z AS (SELECT *, {LCS.format(a='x', b='y')} AS l FROM q) SELECT s1, cand, round(200.0 * l / (length(x) + length(y)), 6) AS n_tsort FROM z")
+def token_sort(spark, d):
+    return V.candidates(spark, d).select("s1", "cand", F.round(S.score("token_sort", F.col("nf_a"), F.col("nf_b")), 6).alias("n_tsort"))
+
+
+@query()
+def token_set(spark, d):
+    return V.candidates(spark, d).select("s1", "cand", *[F.round(S.score("token_set", F.col(f"{c}_a"), F.col(f"{c}_b")), 6).alias(f"{c}_tset") for c in ("nf", "nc", "af")])
+
+
+@query()
+def partial_ratio(spark, d):
+    return V.candidates(spark, d).select("s1", "cand", F.round(S.score("partial", F.col("nc_a"), F.col("nc_b")), 6).alias("c_partial"))
+
+
+@query(f"WITH {CAND} SELECT s1, cand, round(jaro_winkler_similarity(nc_a, nc_b), 6) AS c_jw FROM cand")
+def jaro_winkler(spark, d):
+    return V.candidates(spark, d).select("s1", "cand", F.round(S.score("jaro_winkler", F.col("nc_a"), F.col("nc_b")), 6).alias("c_jw"))
+
+
+NUM = "CASE WHEN len(ja) > 0 AND len(jb) > 0 THEN {0} END"
+LEAD = "coalesce(CAST(nullif(regexp_extract({0}, '^[0-9]+'), '') AS BIGINT), 0)"
+
+
+@query(f"""WITH {CAND} SELECT s1, cand, round(len(list_intersect(list_distinct(ja), list_distinct(jb))) / nullif(len(list_distinct(list_concat(ja, jb))), 0), 6) AS jacc,
+CAST({NUM.format("ja[1] = jb[1]")} AS INTEGER) AS fn_eq, CAST({NUM.format("list_contains(jb, ja[1])")} AS INTEGER) AS fn_in, CAST({NUM.format("list_contains(ja, jb[1])")} AS INTEGER) AS bfn_in,
+CAST({NUM.format("len(list_filter(list_distinct(ja), lambda t: NOT list_contains(jb, t)))")} AS INTEGER) AS n_miss, CAST({NUM.format("len(list_filter(list_distinct(jb), lambda t: NOT list_contains(ja, t)))")} AS INTEGER) AS n_extra,
+round({NUM.format("ln(1 + abs(" + LEAD.format("ja[1]") + " - " + LEAD.format("jb[1]") + "))")}, 6) AS fn_diff, CAST({NUM.format("levenshtein(ja[1], jb[1])")} AS INTEGER) AS fn_lev FROM cand""")
+def number_features(spark, d):
+    f = P.number_features(N.tokens(F.col("nj_a")), N.tokens(F.col("nj_b")))
+    return V.candidates(spark, d).select("s1", "cand", *[(F.round(c, 6) if k in ("jacc", "fn_diff") else c).alias(k) for k, c in f.items()])
+
+
+@query(f"""WITH {CAND}, q AS (SELECT *, CASE WHEN length(hn_a) < length(hn_b) THEN hn_a ELSE hn_b END AS x, CASE WHEN length(hn_a) < length(hn_b) THEN hn_b ELSE hn_a END AS y FROM cand)
+SELECT s1, cand, CASE WHEN hn_a = '' AND hn_b = '' THEN 5 WHEN hn_a = '' OR hn_b = '' THEN 4 WHEN hn_a = hn_b THEN 0
+WHEN length(y) - length(x) = 1 AND len(list_filter(range(1, length(y) + 1), lambda i: substr(y, 1, i - 1) || substr(y, i + 1) = x)) > 0 THEN 1
+WHEN abs(CAST(hn_a AS BIGINT) - CAST(hn_b AS BIGINT)) <= 50 THEN 2 ELSE 3 END AS hn_rel, round(ln(1 + abs(CAST(nullif(hn_a, '') AS BIGINT) - CAST(nullif(hn_b, '') AS BIGINT))), 6) AS hn_ldiff,
+CAST(CASE WHEN hn_a <> '' AND hn_b <> '' THEN hn_a = hn_b WHEN len(ja) > 0 AND len(jb) > 0 THEN ja[1] = jb[1] END AS INTEGER) AS agree FROM q""")
+def house_relation(spark, d):
+    a, b = F.col("hn_a"), F.col("hn_b")
+    return V.candidates(spark, d).select("s1", "cand", P.house_relation(a, b).alias("hn_rel"), F.round(P.house_distance(a, b), 6).alias("hn_ldiff"), P.number_agreement(a, b, N.tokens(F.col("nj_a")), N.tokens(F.col("nj_b"))).alias("agree"))
+
+
+@query(f"""WITH {CAND}, it AS (SELECT token, ln((SELECT count(*) FROM rec) / count(*)) AS idf FROM (SELECT unnest(list_distinct({TOK.format('nc')})) AS token FROM rec) GROUP BY token),
+e AS (SELECT s1, cand, nc_a, nc_b, unnest(list_distinct(list_concat({TOK.format('nc_a')}, {TOK.format('nc_b')}))) AS token FROM cand)
+SELECT s1, cand, round(sum(CASE WHEN list_contains(string_split(nc_a, ' '), e.token) AND list_contains(string_split(nc_b, ' '), e.token) THEN idf ELSE 0 END) / nullif(sum(idf), 0), 6) AS widf,
+round(sum(CASE WHEN list_contains(string_split(nc_a, ' '), e.token) AND list_contains(string_split(nc_b, ' '), e.token) THEN idf ELSE 0 END), 6) AS shared FROM e JOIN it ON e.token = it.token GROUP BY ALL""")
+def idf_jaccard(spark, d):
+    table = P.idf(V.simple_records(spark, d), "nc")
+    return P.weighted_jaccard(V.candidates(spark, d), "nc_a", "nc_b", table).select("s1", "cand", *r6("widf", "shared"))
+
+
+def _diffs(spark, d):
+    agree = P.number_agreement(F.col("hn_a"), F.col("hn_b"), N.tokens(F.col("nj_a")), N.tokens(F.col("nj_b")))
+    plain = lambda a, b: F.filter(F.array_except(N.tokens(F.col(a)), N.tokens(F.col(b))), lambda t: F.length(t) > 1)
+    return V.candidates(spark, d).select("s1", "cand", "country", plain("nf_b", "nf_a").alias("extra"), plain("nf_a", "nf_b").alias("missing"), agree.alias("agree"))
+
+
+LESS = "list_filter(list_distinct(" + TOK.format("{0}") + "), lambda t: length(t) > 1 AND NOT list_contains(string_split({1}, ' '), t))"
+DIFFS = f"""{CAND}, dif AS (SELECT s1, cand, country, {LESS.format('nf_b', 'nf_a')} AS extra, {LESS.format('nf_a', 'nf_b')} AS missing,
+CAST(CASE WHEN hn_a <> '' AND hn_b <> '' THEN hn_a = hn_b WHEN len(ja) > 0 AND len(jb) > 0 THEN ja[1] = jb[1] END AS INTEGER) AS agree FROM cand),
+st AS (SELECT country, side, token, count(*) AS n, CAST(sum(agree) AS BIGINT) AS n_agree FROM (SELECT country, 'extra' AS side, unnest(extra) AS token, agree FROM dif WHERE agree IS NOT NULL
+UNION ALL SELECT country, 'missing', unnest(missing), agree FROM dif WHERE agree IS NOT NULL) GROUP BY ALL),
+pr AS (SELECT country, sum(n_agree) / greatest(sum(n), 1) AS prior FROM st WHERE side = 'extra' GROUP BY country)"""
+
+
+@query()
+def tok_diff(spark, d):
+    return V.candidates(spark, d).select("s1", "cand", S.token_diff(F.col("nf_a"), F.col("nf_b")).alias("t")).select("s1", "cand", F.array_join("t.extra", " ").alias("extra"), F.array_join("t.missing", " ").alias("missing"))
+
+
+@query(f"WITH {DIFFS} SELECT * FROM st")
+def token_stats(spark, d):
+    return P.token_statistics(_diffs(spark, d))
+
+
+@query(f"WITH {DIFFS} SELECT country, round(prior, 6) AS prior FROM pr")
+def token_prior(spark, d):
+    return P.token_prior(P.token_statistics(_diffs(spark, d))).select("country", *r6("prior"))
+
+
+@query(f"""WITH {DIFFS}, e AS (SELECT s1, cand, country, agree, unnest(extra) AS token FROM dif),
+q AS (SELECT s1, cand, coalesce(st.n, 0) - CASE WHEN agree IS NULL THEN 0 ELSE 1 END AS n, (coalesce(st.n_agree, 0) - coalesce(agree, 0) + 10 * coalesce(prior, 0.5)) AS up FROM e LEFT JOIN st ON st.country = e.country AND st.token = e.token AND st.side = 'extra' LEFT JOIN pr ON pr.country = e.country)
+SELECT d.s1, d.cand, count(q.s1) AS n, round(min(up / (q.n + 10)), 6) AS agree_min, round(avg(up / (q.n + 10)), 6) AS agree_mean, round(ln(1 + CASE WHEN min(q.n) < 0 THEN 0 ELSE coalesce(min(q.n), 0) END), 6) AS lcnt_min
+FROM dif d LEFT JOIN q ON d.s1 = q.s1 AND d.cand = q.cand GROUP BY d.s1, d.cand""")
+def sibling_rates(spark, d):
+    diffs = _diffs(spark, d)
+    stats = P.token_statistics(diffs)
+    return P.sibling_rates(diffs, stats, P.token_prior(stats), "extra").select("s1", "cand", "n", *r6("agree_min", "agree_mean", "lcnt_min"))
+
+
+DF23 = f"df23 AS (SELECT token, count(*) AS df FROM (SELECT unnest(list_distinct({TOK.format('nf')})) AS token FROM rec WHERE src > 1) GROUP BY token)"
+NOISE = f"{DIFFS}, {DF23}, nz AS (SELECT x.token, count(*) / (coalesce(any_value(df), 0) + 10) AS noise FROM (SELECT unnest(extra) AS token FROM dif WHERE agree = 1) x LEFT JOIN df23 ON x.token = df23.token GROUP BY x.token)"
+
+
+def _noise(spark, d):
+    rec = V.simple_records(spark, d)
+    df23 = P.idf(rec.where("src > 1"), "nf").select("token", "df")
+    return P.noise_table(_diffs(spark, d).where("agree = 1").select(F.explode("extra").alias("token")), df23)
+
+
+@query(f"WITH {NOISE} SELECT token, round(noise, 6) AS noise FROM nz")
+def noise_table(spark, d):
+    return _noise(spark, d).select("token", *r6("noise"))
+
+
+@query(f"WITH {NOISE}, e AS (SELECT s1, cand, unnest(extra) AS token FROM dif) SELECT d.s1, d.cand, round(min(v), 6) AS nz_min, round(max(v), 6) AS nz_max, count(CASE WHEN v = 0 THEN 1 END) AS nz_zero FROM dif d LEFT JOIN (SELECT s1, cand, coalesce(noise, 0) AS v FROM e LEFT JOIN nz ON e.token = nz.token) q ON d.s1 = q.s1 AND d.cand = q.cand GROUP BY d.s1, d.cand")
+def noise_feats(spark, d):
+    return P.noise_features(_diffs(spark, d), _noise(spark, d)).select("s1", "cand", *r6("nz_min", "nz_max"), "nz_zero")
+
+
+INI = "array_to_string(list_transform(" + TOK.format("{0}") + ", lambda t: substr(t, 1, 1)), '')"
+
+
+@query(f"WITH {CAND} SELECT s1, cand, {INI.format('nf_a')} AS ini, CAST(length(replace(nc_b, ' ', '')) >= 2 AND (replace(nc_b, ' ', '') = {INI.format('nf_a')} OR replace(nc_b, ' ', '') = {INI.format('nc_a')}) AS INTEGER) AS acro FROM cand")
+def acronym(spark, d):
+    return V.candidates(spark, d).select("s1", "cand", P.initials(F.col("nf_a")).alias("ini"), P.acronym(F.col("nc_b"), F.col("nf_a"), F.col("nc_a")).alias("acro"))
+
+
+@query(f"WITH {CAND} SELECT s1, cand, CAST(af_b = '' AS INTEGER) AS aemp, CAST(len(string_split(nc_b, ' ')) AS INTEGER) AS ntok, CAST(CASE WHEN af_b = '' THEN 0 ELSE len(string_split(af_b, ' ')) END AS INTEGER) AS alen, src_b AS src_c FROM cand")
+def record_flags(spark, d):
+    return V.candidates(spark, d).select("s1", "cand", (F.col("af_b") == "").cast("int").alias("aemp"), F.size(F.split("nc_b", " ")).alias("ntok"), F.when(F.col("af_b") == "", 0).otherwise(F.size(F.split("af_b", " "))).alias("alen"), F.col("src_b").alias("src_c"))
+
+
+@query(f"""WITH {REC}, fr AS (SELECT country, nc, count(CASE WHEN src = 1 THEN 1 END) AS n1, count(CASE WHEN src > 1 THEN 1 END) AS n23 FROM rec GROUP BY ALL)
+SELECT a.id AS s1, b.id AS cand, x.n1 AS fq_n1_s1, x.n23 AS fq_n23_s1, z.n1 AS fq_n1_c, z.n23 AS fq_n23_c FROM rec a JOIN rec b ON a.country = b.country AND a.p_brand = b.p_brand AND a.src = 1 AND b.src > 1
+JOIN fr x ON x.country = a.country AND x.nc = a.nc JOIN fr z ON z.country = b.country AND z.nc = b.nc""")
+def freq_lookup(spark, d):
+    fr = P.frequencies(V.simple_records(spark, d))
+    side = lambda key, tag: fr.select(F.col("id").alias(key), F.col("fq_n1").alias(f"fq_n1_{tag}"), F.col("fq_n23").alias(f"fq_n23_{tag}"))
+    return V.candidates(spark, d).select("s1", "cand").join(side("s1", "s1"), "s1").join(side("cand", "c"), "cand")
+
+
+# ---------------------------------------------------------------- context
+CTX = f"""{CAND}, ctx AS (SELECT s1, cand, src_b AS src, ((s1 * 7 + cand * 13) % 101) / 101.0 AS cos, CAST((s1 * 3 + cand * 5) % 89 AS DOUBLE) AS n_ratio, hn_a = hn_b AND hn_a <> '' AS hn_eq,
+CASE WHEN len(ja) > 0 AND len(jb) > 0 THEN CAST(ja[1] = jb[1] AS INTEGER) END AS fn_eq, jb[1] AS fnum_c, (s1 + cand) % 12 + 1 AS frank, ((s1 * 11 + cand * 17) % 97) / 97.0 AS p1 FROM cand)"""
+
+
+@query(f"""WITH {CTX} SELECT s1, cand, count(*) OVER g AS g_size, row_number() OVER (PARTITION BY s1 ORDER BY cos DESC, cand) AS cos_rank, round(max(n_ratio) OVER g - n_ratio, 6) AS n_ratio_gap,
+CAST(sum(CAST(hn_eq AS INTEGER)) OVER g AS BIGINT) AS g_hn_eq, CAST(coalesce(sum(fn_eq) OVER g, 0) AS BIGINT) AS g_s1fn, CASE WHEN fnum_c IS NOT NULL THEN count(*) OVER f - 1 END AS g_same_fn,
+CAST(CASE WHEN fnum_c IS NOT NULL THEN count(CASE WHEN frank <= 10 THEN 1 END) OVER f - CASE WHEN frank <= 10 THEN 1 ELSE 0 END END AS BIGINT) AS g_same_fn_top FROM ctx WINDOW g AS (PARTITION BY s1), f AS (PARTITION BY s1, fnum_c)""")
+def ctx_group(spark, d):
+    names = ["g_size", "g_hn_eq", "g_s1fn", "g_same_fn", "g_same_fn_top", "cos_rank"]
+    return P.context(V.context_pairs(spark, d)).select("s1", "cand", *[F.col(c).cast("long").alias(c) for c in names], *r6("n_ratio_gap"))
+
+
+@query(f"""WITH {CTX}, a AS (SELECT *, max(p1) OVER (PARTITION BY s1) AS p_max, sum(p1) OVER (PARTITION BY s1) AS p_sum, CASE WHEN fnum_c IS NOT NULL THEN sum(p1) OVER (PARTITION BY s1, fnum_c) END AS fs FROM ctx)
+SELECT s1, cand, round(p_max, 6) AS p_max, round(p_sum, 6) AS p_sum, row_number() OVER (PARTITION BY s1 ORDER BY p1 DESC, cand) AS p_rank, row_number() OVER (PARTITION BY s1, src ORDER BY p1 DESC, cand) AS p_rank_src,
+round(p1 / greatest(p_max, 1e-6), 6) AS p_rel, count(CASE WHEN p1 > 0.5 THEN 1 END) OVER (PARTITION BY s1) AS p_n50, round((fs - p1) / greatest(p_sum - p1, 1e-6), 5) AS fn_support,
+CAST(round(fs, 9) = round(max(fs) OVER (PARTITION BY s1), 9) AS INTEGER) AS fn_top, round(coalesce(sum(p1 * fn_eq) OVER (PARTITION BY s1), 0) / greatest(p_sum, 1e-6), 6) AS s1fn_support FROM a""")
+def stage2_ctx(spark, d):
+    out = P.stage_two(V.context_pairs(spark, d))
+    return out.select("s1", "cand", *r6("p_max", "p_sum", "p_rel", "s1fn_support"), F.round("fn_support", 5).alias("fn_support"), *[F.col(c).cast("long").alias(c) for c in ("p_rank", "p_rank_src", "p_n50")], "fn_top")
+
+
+# ---------------------------------------------------------------- decision, metric, analysis
+LOGIT = "1 / (1 + exp(-({a} * ln(least(greatest(p, 1e-7), 1 - 1e-7) / (1 - least(greatest(p, 1e-7), 1 - 1e-7))) + {b})))"
+
+
+@query(f"WITH {SP} SELECT s1, cand, round({LOGIT.format(a='1.4', b='(-2.5)')}, 6) AS p FROM sp")
+def calibrate(spark, d):
+    return V.scored_pairs(spark, d).select("s1", "cand", F.round(D.calibrate(F.col("p"), 1.4, -2.5), 6).alias("p"))
+
+
+@query(f"WITH {SP} SELECT s1, cand FROM {owned('sp')}")
+def one_owner(spark, d):
+    return D.one_owner(V.scored_pairs(spark, d)).select("s1", "cand")
+
+
+@query(f"WITH {SP} SELECT s1, cand FROM {owned('sp')} WHERE p >= 0.4")
+def decide_thr(spark, d):
+    return D.threshold(V.scored_pairs(spark, d), 0.4).select("s1", "cand")
+
+
+@query(f"WITH {SP} SELECT s1, cand FROM {chosen('sp')}")
+def decide_expf(spark, d):
+    return D.expected_f(V.scored_pairs(spark, d))
+
+
+def _scored(spark, d):
+    sp = V.scored_pairs(spark, d)
+    return sp, truth_of(sp), V.countries(sp)
+
+
+@query(f"WITH {SP} SELECT s1, round(f, 6) AS f FROM {f05_sql(chosen('sp'))}")
+def f05(spark, d):
+    sp, truth, ids = _scored(spark, d)
+    return D.f05(D.expected_f(sp), truth, ids).select("s1", *r6("f"))
+
+
+@query(f"""WITH {SP}, x AS (SELECT * FROM {f05_sql(chosen('sp'))}) SELECT 'all' AS part, count(*) AS n, round(avg(f), 5) AS f FROM x UNION ALL SELECT 'country ' || country, count(*), round(avg(f), 5) FROM x GROUP BY country
+UNION ALL SELECT CASE WHEN nt = 0 THEN 'singleton' ELSE 'non-singleton' END, count(*), round(avg(f), 5) FROM x GROUP BY nt = 0""")
+def f05_report(spark, d):
+    sp, truth, ids = _scored(spark, d)
+    return D.report(D.f05(D.expected_f(sp), truth, ids))
+
+
+@query(f"WITH {SP}, c AS (SELECT * FROM sp WHERE p > 0.2) SELECT round(count(c.s1) / count(*), 6) AS ceiling, round((SELECT avg(f) FROM {f05_sql('(SELECT s1, cand FROM c WHERE y = 1)')}), 6) AS oracle FROM truth t LEFT JOIN c ON t.s1 = c.s1 AND t.cand = c.cand")
+def recall_ceiling(spark, d):
+    sp, truth, ids = _scored(spark, d)
+    inside = truth.join(sp.where("p > 0.2").select("s1", "cand"), ["s1", "cand"], "left_semi")
+    found = truth.join(inside.withColumn("hit", F.lit(1.0)), ["s1", "cand"], "left").agg(F.round(F.avg(F.coalesce("hit", F.lit(0.0))), 6).alias("ceiling"))
+    return found.crossJoin(D.f05(inside, truth, ids).agg(F.round(F.avg("f"), 6).alias("oracle")))
+
+
+GRID = [(a, b) for a in (1.0, 1.4, 2.0) for b in (-2.5, -1.0, 0.0)]
+
+
+@query(f"""WITH {SP}, prm(a, b) AS (VALUES {", ".join(f"(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE))" for a, b in GRID)}), g AS (SELECT a, b, s1, cand, {LOGIT.format(a='a', b='b')} AS p FROM sp CROSS JOIN prm),
+gids AS (SELECT ids.*, prm.* FROM ids CROSS JOIN prm) SELECT a, b, round(avg(f), 5) AS f FROM {f05_sql(chosen('g', 'a, b, '), 'ab', 'gids')} GROUP BY a, b""")
+def grid_tune(spark, d):
+    sp, truth, ids = _scored(spark, d)
+    return D.tune(sp.drop("y"), truth, ids, GRID).select("a", "b", F.round("f", 5).alias("f"))
+
+
+@query(f"WITH {SP}, g AS (SELECT sp.s1, sp.cand, {LOGIT.format(a='1.0', b='CASE country WHEN $$C0$$ THEN -1.0 WHEN $$C1$$ THEN 0.0 ELSE 0.5 END')} AS p FROM sp JOIN ids ON sp.s1 = ids.s1) SELECT s1, cand FROM {chosen('g')}".replace("$$", "'"))
+def country_shift(spark, d):
+    sp, _, ids = _scored(spark, d)
+    shift = F.when(F.col("country") == "C0", -1.0).when(F.col("country") == "C1", 0.0).otherwise(0.5)
+    return D.expected_f(sp.join(ids, "s1").select("s1", "cand", D.calibrate(F.col("p"), 1.0, shift).alias("p")))
+
+
+@query(f"WITH {SP.replace('truth AS (SELECT s1, cand FROM sp WHERE y = 1)', 'truth AS (SELECT s1, cand FROM ' + chosen('sp2') + ')')} SELECT country, round(avg(f), 5) AS f FROM {f05_sql(chosen('sp'))} GROUP BY country")
+def agreement(spark, d):
+    sp, _, ids = _scored(spark, d)
+    return D.f05(D.expected_f(sp), D.expected_f(V.second_scores(sp)), ids).groupBy("country").agg(F.round(F.avg("f"), 5).alias("f"))
+
+
+PAIR = f"x AS (SELECT s1, cand FROM {owned('sp')} WHERE p >= 0.4), y AS (SELECT s1, cand FROM {owned('sp2')} WHERE p >= 0.35)"
+
+
+def _two(spark, d):
+    sp = V.scored_pairs(spark, d)
+    return sp, D.threshold(sp, 0.4).select("s1", "cand"), D.threshold(V.second_scores(sp), 0.35).select("s1", "cand")
+
+
+@query(f"""WITH {SP}, {PAIR}, kept AS (SELECT x.* FROM x JOIN ids ON x.s1 = ids.s1 WHERE NOT (country IN ('C1') AND NOT EXISTS (SELECT 1 FROM y WHERE y.s1 = x.s1 AND y.cand = x.cand)))
+SELECT s1, cand FROM kept UNION ALL SELECT y.s1, y.cand FROM y JOIN ids ON y.s1 = ids.s1 WHERE country IN ('C0') AND NOT EXISTS (SELECT 1 FROM x WHERE y.s1 = x.s1 AND y.cand = x.cand) AND y.cand NOT IN (SELECT cand FROM kept)""")
+def compose_buckets(spark, d):
+    sp, x, y = _two(spark, d)
+    return D.compose(x, y, V.countries(sp), ["C0"], ["C1"])
+
+
+@query(f"""WITH {SP}, {PAIR} SELECT s1, cand FROM x WHERE NOT EXISTS (SELECT 1 FROM sp2 WHERE sp2.s1 = x.s1 AND sp2.cand = x.cand AND sp2.p < 0.36)
+UNION ALL SELECT s1, cand FROM {owned('(SELECT * FROM sp2 WHERE p > 0.39)')} WHERE cand NOT IN (SELECT cand FROM x)""")
+def confidence_edits(spark, d):
+    sp, x, _ = _two(spark, d)
+    return D.confidence_edits(x, V.second_scores(sp), 0.36, 0.39)
+
+
+@query(f"WITH {SP}, {PAIR} SELECT x.s1, x.cand FROM x JOIN ids ON x.s1 = ids.s1 WHERE country <> 'C2' UNION ALL SELECT y.s1, y.cand FROM y JOIN ids ON y.s1 = ids.s1 WHERE country = 'C2'")
+def country_mix(spark, d):
+    sp, x, y = _two(spark, d)
+    of = V.countries(sp)
+    return x.join(of.where("country <> 'C2'"), "s1", "left_semi").unionByName(y.join(of.where("country = 'C2'"), "s1", "left_semi"))
+
+
+@query(f"WITH {SP}, {PAIR} SELECT (SELECT count(*) FROM x) AS pairs, (SELECT count(*) FROM ids WHERE s1 NOT IN (SELECT s1 FROM x)) AS empty_s1")
+def selection_counts(spark, d):
+    sp, x, _ = _two(spark, d)
+    per = sp.select("s1").distinct().join(x.groupBy("s1").agg(F.count("*").alias("n")), "s1", "left")
+    return per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("pairs"), F.count(F.when(F.col("n").isNull(), 1)).alias("empty_s1"))
+
+
+@query(f"""WITH {SP}, {PAIR}, ins AS (SELECT truth.* FROM truth JOIN sp ON truth.s1 = sp.s1 AND truth.cand = sp.cand WHERE p > 0.2), clean AS (SELECT x.* FROM x JOIN truth t ON x.s1 = t.s1 AND x.cand = t.cand)
+SELECT 'as is' AS edit, round(avg(f), 6) AS f FROM {f05_sql('x')} UNION ALL SELECT 'no false positives', round(avg(f), 6) FROM {f05_sql('clean')}
+UNION ALL SELECT 'with candidates', round(avg(f), 6) FROM {f05_sql('(SELECT * FROM x UNION SELECT * FROM ins)')} UNION ALL SELECT 'with all truth', round(avg(f), 6) FROM {f05_sql('(SELECT * FROM x UNION SELECT * FROM truth)')}""")
+def loss_decomposition(spark, d):
+    sp, x, _ = _two(spark, d)
+    return D.loss(x, truth_of(sp), sp.where("p > 0.2").select("s1", "cand"), V.countries(sp))
+
+
+@query(f"WITH {REC}, o AS (SELECT country, nc, count(CASE WHEN src = 1 THEN 1 END) AS owners, count(CASE WHEN src > 1 THEN 1 END) AS others FROM rec GROUP BY ALL) SELECT owners, CAST(sum(others) AS BIGINT) AS records, count(*) AS names FROM o GROUP BY owners")
+def owner_ambiguity(spark, d):
+    o = V.simple_records(spark, d).groupBy("country", "nc").agg(F.count(F.when(F.col("src") == 1, 1)).alias("owners"), F.count(F.when(F.col("src") > 1, 1)).alias("others"))
+    return o.groupBy("owners").agg(F.sum("others").alias("records"), F.count("*").alias("names"))
+
+
+@query(f"WITH {SP} SELECT country, round(count(CASE WHEN p > 0.1 AND p < 0.9 THEN 1 END) / count(DISTINCT ids.s1), 6) AS unsure FROM ids JOIN sp ON ids.s1 = sp.s1 GROUP BY country")
+def uncertainty_share(spark, d):
+    sp, _, ids = _scored(spark, d)
+    per = sp.groupBy("s1").agg(F.count(F.when((F.col("p") > 0.1) & (F.col("p") < 0.9), 1)).alias("n")).join(ids, "s1")
+    return per.groupBy("country").agg(F.round(F.sum("n") / F.count("*"), 6).alias("unsure"))
+
+
+@query()
+def expected_f_draws(spark, d):
+    """Monte-Carlo expected F0.5 by country: truths drawn from the scores, seeded by hashes of pair and draw."""
+    sp, _, ids = _scored(spark, d)
+    draws = F.explode(F.sequence(F.lit(1), F.lit(5))).alias("b")
+    u = F.pmod(F.xxhash64("s1", "cand", "b"), F.lit(1 << 30)) / float(1 << 30)
+    out = None
+    for b in range(1, 6):
+        truth = sp.select("s1", "cand", "p", F.lit(b).alias("b")).where(u < F.col("p")).select("s1", "cand")
+        row = D.f05(D.expected_f(sp), truth, ids).groupBy("country").agg(F.avg("f").alias("f"))
+        out = row if out is None else out.union(row)
+    return out.groupBy("country").agg(F.round(F.avg("f"), 6).alias("f"))
+
+
+CLIP = "least(greatest(p, 1e-7), 1 - 1e-7)"
+
+
+@query(f"WITH {SP}, u AS (SELECT * FROM sp UNION ALL SELECT * FROM sp2) SELECT s1, cand, round(1 / (1 + exp(-avg(ln({CLIP} / (1 - {CLIP}))))), 6) AS p FROM u GROUP BY s1, cand")
+def ensemble_logit(spark, d):
+    sp = V.scored_pairs(spark, d)
+    return D.ensemble(sp.union(V.second_scores(sp))).select("s1", "cand", *r6("p"))
+
+
+@query(f"WITH {SP} SELECT s1, cand, round(avg(ce), 6) AS ce FROM (SELECT s1, cand, ln(p / (1 - p)) AS ce, 0 AS fold FROM sp UNION ALL SELECT s1, cand, ln(p / (1 - p)), 1 FROM sp2) WHERE s1 % 3 > 0 OR fold <> s1 % 2 GROUP BY s1, cand")
+def ce_fold_combine(spark, d):
+    """Mean of both folds' logits; S1s of the training role (s1 % 3 = 0) take the fold that did not see them."""
+    sp = V.scored_pairs(spark, d)
+    logit = F.log(F.col("p") / (1 - F.col("p"))).alias("ce")
+    both = sp.select("s1", "cand", logit, F.lit(0).alias("fold")).union(V.second_scores(sp).select("s1", "cand", logit, F.lit(1).alias("fold")))
+    return both.where((F.col("s1") % 3 > 0) | (F.col("fold") != F.col("s1") % 2)).groupBy("s1", "cand").agg(F.round(F.avg("ce"), 6).alias("ce"))
+
+
+@query(f"WITH {SP} SELECT s1, cand, CASE WHEN y = 0 AND cand % 7 > 0 AND cand NOT IN (SELECT cand FROM truth) THEN CAST(3 AS DOUBLE) ELSE 1 END AS w FROM sp WHERE cand % 7 > 0")
+def weights_distractor(spark, d):
+    sp = V.scored_pairs(spark, d)
+    return M.distractor_weight(sp.where("cand % 7 > 0"), truth_of(sp), 3.0).select("s1", "cand", "w")
+
+
+@query(f"WITH {CTX} SELECT s1, cand, CASE WHEN fn_eq = 0 AND NOT coalesce(list_contains(string_split(nj_a, ' '), fnum_c), FALSE) AND n_ratio >= 70 THEN CAST(2 AS DOUBLE) ELSE 1 END AS w FROM (SELECT ctx.*, cand.nj_a FROM ctx JOIN cand ON ctx.s1 = cand.s1 AND ctx.cand = cand.cand)")
+def weights_sibling(spark, d):
+    f = P.number_features(N.tokens(F.col("nj_a")), N.tokens(F.col("nj_b")))
+    score = ((F.col("s1") * 3 + F.col("cand") * 5) % 89).cast("double")
+    c = V.candidates(spark, d).select("s1", "cand", F.lit(0).alias("y"), f["fn_eq"].alias("fn_eq"), f["bfn_in"].alias("bfn_in"), score.alias("c_tset"), score.alias("a_tset"))
+    return M.sibling_weight(c, 2.0).select("s1", "cand", "w")
+
+
+@query(f"""WITH {SP}, {PAIR}, fp AS (SELECT 'fp' AS kind, s1, cand FROM x WHERE NOT EXISTS (SELECT 1 FROM truth t WHERE t.s1 = x.s1 AND t.cand = x.cand) ORDER BY s1, cand LIMIT 500),
+fn AS (SELECT 'fn' AS kind, s1, cand FROM truth t WHERE NOT EXISTS (SELECT 1 FROM x WHERE t.s1 = x.s1 AND t.cand = x.cand) ORDER BY s1, cand LIMIT 500) SELECT * FROM fp UNION ALL SELECT * FROM fn""")
+def error_dump(spark, d):
+    """The report's feature: the first 500 errors of each kind."""
+    sp, x, _ = _two(spark, d)
+    truth = truth_of(sp)
+    part = lambda kind, a, b: a.join(b, ["s1", "cand"], "left_anti").orderBy("s1", "cand").limit(500).select(F.lit(kind).alias("kind"), "s1", "cand")
+    return part("fp", x, truth).union(part("fn", truth, x))
+
+
+def _labelled(spark, d):
+    c = V.context_pairs(spark, d)
+    return c.withColumn("y", ((F.col("fn_eq") == 1) | (F.col("n_ratio") > 70)).cast("int")).na.fill(0, ["y"])
+
+
+FEATURES = ["cos", "n_ratio", "hn_rel", "fn_eq", "frank"]
+
+
+@query()
+def matcher_oof(spark, d):
+    return M.out_of_fold(_labelled(spark, d).drop("p1"), FEATURES, 2, R.fold(F.col("s1"), 2), rounds=5).select("s1", "cand", "y", F.round("p1", 6).alias("p1"))
+
+
+@query()
+def matcher_stage2(spark, d):
+    first = M.out_of_fold(_labelled(spark, d).drop("p1"), FEATURES, 2, R.fold(F.col("s1"), 2), rounds=3)
+    second = P.stage_two(first)
+    _, score, _ = M.fit(second, [*FEATURES, "p1", "p_max", "p_rank", "fn_support"], rounds=3)
+    return score(second, "p2").select("s1", "cand", F.round("p2", 6).alias("p2"))
+
+
+@query()
+def importance(spark, d):
+    model, _, names = M.fit(_labelled(spark, d), FEATURES, rounds=3)
+    return M.importances(model, names, spark)
+
+
+SIMPLE = f"""{CAND}, flag AS (SELECT s1, cand, round(0.05 + 0.6 * coalesce(len(list_intersect(list_distinct({TOK.format('nc_a')}), list_distinct({TOK.format('nc_b')}))) / nullif(len(list_distinct(list_concat({TOK.format('nc_a')}, {TOK.format('nc_b')}))), 0), 0)
+ + 0.3 * coalesce(CASE WHEN len(ja) > 0 AND len(jb) > 0 THEN CAST(ja[1] = jb[1] AS INTEGER) END, 0), 9) AS p FROM cand)"""
+
+
+@query(f"WITH {SIMPLE} SELECT e.id AS s1, coalesce(string_agg(CAST(x.cand AS VARCHAR), ',' ORDER BY x.cand), '') AS matched FROM ent e LEFT JOIN {chosen('flag')} x ON e.id = x.s1 WHERE e.src = 1 GROUP BY e.id")
+def flagship_resolve(spark, d):
+    pairs = D.expected_f(V.simple_score(V.candidates(spark, d)))
+    return R.result_lists(pairs, V.entities(spark, d).where("src = 1").select(F.col("id").alias("s1")))
