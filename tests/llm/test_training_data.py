@@ -11,7 +11,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-from weaveline.llm.chain_dedup import Fenwick, chain, fuzzy_passages
+from weaveline.llm.chain_dedup import Fenwick, align, chain, common, fuzzy_passages
 from weaveline.llm.decontaminate import contaminated
 from weaveline.llm.exact_dedup import Chain, Directory, exact_groups, keep_one
 from weaveline.llm.html_text import extract_pages, main_text
@@ -262,6 +262,23 @@ def test_fuzzy_passages(spark, docs):
     assert fuzzy_passages(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_alignment():
+    def longest(a, b):
+        size = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                size[i + 1][j + 1] = size[i][j] + 1 if x == y else max(size[i][j + 1], size[i + 1][j])
+        return size[-1][-1]
+
+    rng = random.Random(5)
+    for _ in range(400):
+        a, b = ([rng.randrange(5) for _ in range(rng.randrange(14))] for _ in range(2))
+        assert len(common(a, b)) == longest(a, b)
+        for pairs in (common(a, b), *(align(a, b, block) for block in (1, 2, 5, 1024))):
+            assert all(a[i] == b[j] for i, j in pairs)
+            assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
+
+
 def test_chain():
     tree = Fenwick(5)
     tree.put(3, (2.0, 1))
