@@ -16,7 +16,10 @@ any length need memory for their identifiers only; repeated rows are encoded one
 
 from __future__ import annotations
 
+import functools
 import hashlib
+from array import array
+from math import inf
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +31,17 @@ from .piece_model import SPACE, Memo, Vocabulary, chunks, vocabulary
 
 def merge_pieces(text: str, vocab: Vocabulary) -> list[str]:
     """The model's merges on a short text, as a list of pieces (used for pairs of pieces only)."""
-    parts, rank = list(text), vocab.rank
-    while True:
-        found = [(r, i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if (r := rank.get(a + b)) is not None]
-        if not found:
-            return parts
-        _, i = min(found)
+    parts, get = list(text), vocab.rank.get
+    ranks = [get(a + b, inf) for a, b in zip(parts, parts[1:])]
+    while ranks and (least := min(ranks)) < inf:
+        i = ranks.index(least)
         parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        del ranks[i]
+        if i:
+            ranks[i - 1] = get(parts[i - 1] + parts[i], inf)
+        if i < len(ranks):
+            ranks[i] = get(parts[i] + parts[i + 1], inf)
+    return parts
 
 
 class Encoder:
@@ -42,28 +49,31 @@ class Encoder:
 
     def __init__(self, vocab: Vocabulary, memo_entries: int = 500_000):
         self.vocab = vocab
-        self.own = Memo(lambda p: merge_pieces(p, vocab) == [p], 40_000)
+        #: Pieces that their own characters merge to; None as long as nobody has asked.
+        self.whole: dict[str, bool | None] = dict.fromkeys(vocab.rank)
         self.pairs = Memo(lambda ab: merge_pieces(ab[0] + ab[1], vocab) == [*ab], 400_000)
         #: Lattice columns by prefix: the surviving path's last step is a function of the prefix alone.
         self.columns = Memo(None, memo_entries, 24)
-        self.words = Memo(lambda word: self.pack(SPACE + word.decode()), memo_entries)
-        self.inner = Memo(lambda part: np.array(self.viterbi(part), np.int32).tobytes(), memo_entries)
+        self.words = Memo(lambda word: self.pack(SPACE + word.decode()), memo_entries // 2)
+        self.inner = Memo(self.ids, memo_entries)
         self.bytes_of = [b"" if t is None and r < 0 else bytes([r]) if r >= 0 else t.encode() for t, r in zip(vocab.text, vocab.raw)]
 
     def viterbi(self, text: str) -> list[int]:
         """Identifiers of text (space marks in place), committed boundary by boundary."""
-        rank, longest, columns = self.vocab.rank, self.vocab.longest, self.columns
+        longest, columns, known = self.vocab.longest, self.columns, self.columns.get
         out: list[int] = []
         base = 0  # everything before base is committed
         last: dict[int, tuple[int, str]] = {}  # end -> (start, piece) of the surviving path's last step
         for end in range(1, len(text) + 1):
-            prefix = text[:end] if end <= 24 else None
-            step = prefix and (dict.get(columns, prefix) or columns.old.get(prefix))
-            if not step:
-                step = self._column(text, end, last)
-                if prefix:
+            if end > 24:
+                last[end] = self._column(text, end, last)
+            else:
+                prefix = text[:end]
+                step = known(prefix)
+                if step is None:
+                    step = columns.old.get(prefix) or self._column(text, end, last)
                     columns.put(prefix, step)
-            last[end] = step
+                last[end] = step
             if end - base > 4 * longest:
                 # Where do the paths to all positions of the window meet? No later piece starts before it.
                 at = set(range(max(base, end - longest), end + 1))
@@ -82,10 +92,13 @@ class Encoder:
 
     def _column(self, text: str, end: int, last) -> tuple[int, str]:
         """The surviving path's last step at end."""
-        rank, own, pairs = self.vocab.rank, self.own, self.pairs
+        whole, pairs = self.whole, self.pairs
         for start in range(max(0, end - self.vocab.longest), end):
             piece = text[start:end]
-            if piece in rank and own[piece] and (not start or (start in last and pairs[(last[start][1], piece)])):
+            sound = whole.get(piece, False)
+            if sound is None:
+                sound = whole[piece] = merge_pieces(piece, self.vocab) == [piece]
+            if sound and (not start or (start in last and pairs[(last[start][1], piece)])):
                 return start, piece
         return end - 1, text[end - 1]  # outside the vocabulary: bytes
 
@@ -100,6 +113,9 @@ class Encoder:
             else:
                 out.extend(self.vocab.byte_id[b] for b in piece.encode())
 
+    def ids(self, part: str) -> bytes:
+        return array("i", self.viterbi(part)).tobytes()
+
     def pack(self, marked: str) -> bytes:
         return b"".join(map(self.inner.__getitem__, self.vocab.parts(marked)))
 
@@ -117,6 +133,12 @@ class Encoder:
         return raw[1:] if raw[:1] == b" " else raw
 
 
+@functools.lru_cache(maxsize=1)
+def coder_of(blob: bytes) -> Encoder:
+    """One per worker process, so that a task finds what earlier ones have worked out."""
+    return Encoder(vocabulary(blob))
+
+
 def encode_documents(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, ids array<int>, n_tokens, text_sha256 (of the given text), decoded_sha256, round_trip.
 
@@ -126,7 +148,7 @@ def encode_documents(docs: DataFrame, model: bytes, id_col: str = "doc_id", text
     blob = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        coder = Encoder(vocabulary(blob.value))
+        coder = coder_of(blob.value)
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
@@ -153,7 +175,7 @@ def decode_documents(encoded: DataFrame, model: bytes, id_col: str = "doc_id", i
     blob = encoded.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        coder = Encoder(vocabulary(blob.value))
+        coder = coder_of(blob.value)
         for batch in batches:
             texts = [coder.decode(x or []).decode("utf-8", "replace") for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["id", "text"])
