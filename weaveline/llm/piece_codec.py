@@ -49,8 +49,10 @@ class Encoder:
 
     def __init__(self, vocab: Vocabulary, memo_entries: int = 500_000):
         self.vocab = vocab
-        #: Pieces that their own characters merge to; None as long as nobody has asked.
-        self.whole: dict[str, bool | None] = dict.fromkeys(vocab.rank)
+        #: Each piece under itself if its own characters merge to it, else False; None as long as nobody has asked.
+        self.whole: dict[str, str | bool | None] = dict.fromkeys(vocab.rank)
+        #: One object for equal steps of the memo below.
+        self.steps: dict[tuple[int, str], tuple[int, str]] = {}
         self.pairs = Memo(lambda ab: merge_pieces(ab[0] + ab[1], vocab) == [*ab], 400_000)
         #: Lattice columns by prefix: the surviving path's last step is a function of the prefix alone.
         self.columns = Memo(None, memo_entries, 24)
@@ -72,7 +74,7 @@ class Encoder:
                 step = known(prefix)
                 if step is None:
                     step = columns.old.get(prefix) or self._column(text, end, last)
-                    columns.put(prefix, step)
+                    columns.put(prefix, step := self.steps.setdefault(step, step))
                 last[end] = step
             if end - base > 4 * longest:
                 # Where do the paths to all positions of the window meet? No later piece starts before it.
@@ -97,9 +99,9 @@ class Encoder:
             piece = text[start:end]
             sound = whole.get(piece, False)
             if sound is None:
-                sound = whole[piece] = merge_pieces(piece, self.vocab) == [piece]
-            if sound and (not start or (start in last and pairs[(last[start][1], piece)])):
-                return start, piece
+                sound = whole[piece] = piece if merge_pieces(piece, self.vocab) == [piece] else False
+            if sound and (not start or (start in last and pairs[(last[start][1], sound)])):
+                return start, sound
         return end - 1, text[end - 1]  # outside the vocabulary: bytes
 
     def _commit(self, last, base: int, end: int, out: list[int]) -> None:
