@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -16,7 +17,7 @@ from weaveline.llm.decontaminate import contaminated
 from weaveline.llm.exact_dedup import Chain, Directory, exact_groups, keep_one
 from weaveline.llm.html_text import extract_pages, main_text
 from weaveline.llm.language_id import identify
-from weaveline.llm.ngram_join import link_components
+from weaveline.llm.ngram_join import SHARES, SIZE, SLACK, TIE, Order, _ties, key_prefix, link_components, sent_length
 from weaveline.llm.piece_codec import Encoder, decode_documents, encode_documents
 from weaveline.llm.piece_model import vocabulary
 from weaveline.llm.prefix_tree import join_block
@@ -178,6 +179,47 @@ def brute_components(sets):
     return [find(i) for i in range(len(sets))]
 
 
+def test_ngram_keys_meet_within_the_prefix():
+    rng = np.random.default_rng(5)
+    order = Order(rng.integers(1, 2**63, 50, np.uint64))
+    met = 0
+    for _ in range(4000):
+        n = int(rng.integers(1, 120))
+        pool = np.concatenate([order.common[: rng.integers(0, 40)], rng.integers(1, 2**63, n, np.uint64)])
+        x = np.unique(pool)
+        y = np.unique(np.concatenate([x[rng.random(len(x)) > rng.choice([0, 0.05, 0.1, 0.2])], rng.integers(1, 2**63, int(rng.integers(0, 1 + len(x) // 4)), np.uint64)]))
+        same = len(np.intersect1d(x, y))
+        if 5 * same < 4 * (len(x) + len(y) - same):
+            continue
+        met += 1
+        kx, ky = (order.first_keys(s, key_prefix(len(s))) for s in (x, y))
+        assert len(np.intersect1d(kx, ky)) > 0
+        kx, ky = (order.first_keys(s, sent_length(len(s))) for s in (x, y))
+        assert len(np.intersect1d(kx, ky)) > max(len(x), len(y)) * SLACK // 100
+    assert met > 500
+
+
+@pytest.mark.parametrize("size,kept", [(1, 1), (3, 4), (1000, 1 << 20)])
+def test_ngram_ties(monkeypatch, size, kept):
+    monkeypatch.setattr("weaveline.llm.ngram_join.TIES_HELD", kept)
+    rng = np.random.default_rng(size)
+    rows = sorted({(int(k), int(v)) for k, v in zip(rng.integers(0, 40, 150), rng.integers(0, 12, 150))})
+    holders: dict = {}
+    for k, v in rows:
+        holders.setdefault(k, []).append(v)
+    ties = {(v, vs[0]) for vs in holders.values() for v in vs[1:]}
+    shares = collections.Counter(v for vs in holders.values() if len(vs) > 1 for v in vs)
+    table = pa.table({"kind": pa.array([TIE] * len(rows) + [SIZE], pa.int32()), "key": [k for k, _ in rows] + [7], "value": [v for _, v in rows] + [9]})
+    out = [r for b in _ties(table.to_batches(max_chunksize=size)) for r in b.to_pylist()]
+    assert {(r["key"], r["value"]) for r in out if r["kind"] == TIE} == ties
+    got: collections.Counter = collections.Counter()
+    for r in out:
+        if r["kind"] == SHARES:
+            got[r["key"]] += r["value"]
+    assert got == shares
+    assert [(r["key"], r["value"]) for r in out if r["kind"] == SIZE] == [(7, 9)]
+
+
 def test_ngram_join(spark, docs):
     sets = [shingle_set(t) for _, t, *_ in ROWS]
     want = brute_components(sets)

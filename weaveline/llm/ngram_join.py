@@ -1,16 +1,18 @@
 """N-gram Jaccard join of documents: exact components of links with Jaccard >= 0.8 of 5-word shingles.
 
-1. Shingles that many documents hold are counted in every task and summed; the commonest form
-   the end of the global order, all others come first, by hash. The order steers work only.
-2. Every task joins its own documents in a prefix tree (prefix_tree.py) and sends n-grams once
-   for each local component, so a text copied or varied many times sends few rows for each
-   n-gram. It sends somewhat more of them than the prefix has (SENT of the set).
-3. N-grams that only one component holds drop out. A document that has been shown to hold as
-   many of these as its prefix is long can link with no other component and leaves. The
-   n-grams of the rest tie components into candidate clusters; two similar documents always
-   lie in one cluster.
+1. Shingles that many documents hold are counted in every task and summed. They steer work only.
+2. Every task joins its own documents in a prefix tree (prefix_tree.py) and sends keys once for
+   each local component, so a text copied or varied many times sends few rows for each key. A
+   key is an n-gram with the next one of its set in the order of their hashes: two sets that
+   merely share a passage hold other n-grams between, so they share few keys, while similar
+   sets still share most (key_prefix). Keys have a global order, those of common n-grams last;
+   a prefix of it is sent, and SLACK more.
+3. Components that hold a key are tied to the first that does. A document alone in its
+   component that shares no more keys than SLACK gave has no partner and leaves, though others
+   may stay tied through it. Ties form candidate clusters; two similar documents always lie in
+   one cluster.
 4. Round one joins one representative of each component, cluster by cluster. Round two joins
-   all documents of the clusters that components still apart and sharing an n-gram form.
+   all documents of the clusters that ties between components still apart form.
    A cluster above block_bytes is cut into blocks whose pairs are joined by different tasks.
 5. Links of all steps make up the components.
 
@@ -29,38 +31,55 @@ from pyspark.sql import functions as F
 from .components import components
 from .prefix_tree import join_block
 from .shared import publish, shuffle_width
-from .word_sets import sets_of
-
-#: Kinds of rows: n-gram and component; document and component; document and number of shingles; document and equal document.
-TOKEN, MEMBER, SIZE, COPY = range(4)
-#: Tenths of a set's n-grams that are sent; at least its prefix, which is two tenths and one.
-SENT = 3
-#: How often documents that have been shown to stand alone are taken out; more rounds save work only.
-PRUNINGS = 3
+from .word_sets import mix, sets_of
+
+#: Kinds of rows: key and component, or two components with a key in common; component and number of keys it shares; document and component; document and number of shingles; document and equal document.
+TIE, SHARES, MEMBER, SIZE, COPY = range(5)
+#: Hundredths of a set's keys that are sent beyond its prefix; more of them let more documents without a partner leave.
+SLACK = 3
+#: So many ties of a task are made distinct at a time.
+TIES_HELD = 1 << 20
 ROW = "kind int, key long, value long"
 TOP = np.uint64(1) << np.uint64(63)
+_THIS, _NEXT = np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0xABC98388FB8FAC03)
 
 
 class Order:
-    """Global order of n-grams: rare first by hash, then the common ones, the commonest last."""
+    """Global order of keys: by hash, but keys of two common n-grams last, the commonest at the very end."""
 
     def __init__(self, common: np.ndarray):
-        self.rank = np.arange(len(common), dtype=np.uint64)  # common: by rising count
-        self.sorted = np.argsort(common)
+        self.sorted = np.argsort(common)  # common: by rising count
         self.common = common[self.sorted]
 
-    def keys(self, s: np.ndarray) -> np.ndarray:
+    def first_keys(self, s: np.ndarray, most: int) -> np.ndarray:
+        """The first keys of an ascending set: each of its n-grams with the next one, the last with the first."""
+        after = np.roll(s, -1)
+        keys = mix(s * _THIS + after * _NEXT) >> np.uint64(1)
         if len(self.common) and len(s):
             place = np.minimum(np.searchsorted(self.common, s), len(self.common) - 1)
-            hit = self.common[place] == s
-            if hit.any():
-                s = np.where(hit, TOP | self.rank[self.sorted[place]], s)
-                s.sort()
-        return s
+            rank = np.where(self.common[place] == s, self.sorted[place], -1)
+            rank = np.minimum(rank, np.roll(rank, -1))
+            keys = np.where(rank < 0, keys, TOP | rank.astype(np.uint64) << np.uint64(40) | keys >> np.uint64(23))
+        if most < len(keys):
+            keys = np.partition(keys, most)[:most]
+        return keys
+
+
+def key_prefix(n: int) -> int:
+    """So many first keys of a set of n n-grams must meet those of any partner.
+
+    An n-gram that only this set holds breaks two of its keys, one that only the partner holds
+    breaks one; ten times the former and eight times the latter sum to at most 2 n.
+    """
+    return min(n, 2 * n // 5 + 1)
 
 
 def sent_length(n: int) -> int:
-    return min(n, n * SENT // 10 + 2)
+    """Similar sets have more than n * SLACK // 100 sent keys in common, n being the larger size.
+
+    That the smaller set sends fewer is made up for by its prefix, of which it needs at most a third then.
+    """
+    return key_prefix(n) + n * SLACK // 100
 
 
 def _rows(kind, key, value) -> pa.RecordBatch:
@@ -102,7 +121,7 @@ def _local(order_of):
     def run(batches):
         order = Order(order_of.value)
         for ids, texts in _slices(batches):
-            sets = [order.keys(s) for s in sets_of(texts)]
+            sets = sets_of(texts)
             ids = np.array(ids, np.int64)
             yield _rows(SIZE, ids, [len(s) for s in sets])
             first: dict[bytes, int] = {}
@@ -117,46 +136,63 @@ def _local(order_of):
             moved = [(ids[own[k]], ids[own[r]]) for k, r in enumerate(label) if k != r]
             if moved:
                 yield _rows(MEMBER, *zip(*moved))
-            token = np.concatenate([sets[i][: sent_length(len(sets[i]))] for i in own] or [np.zeros(0, np.uint64)])
-            comp = np.repeat(ids[[own[r] for r in label]], [sent_length(len(sets[i])) for i in own]) if own else np.zeros(0, np.int64)
+            keys = [order.first_keys(sets[i], sent_length(len(sets[i]))) for i in own]
+            token = np.concatenate(keys or [np.zeros(0, np.uint64)])
+            comp = np.repeat(ids[[own[r] for r in label]], [len(k) for k in keys]) if own else np.zeros(0, np.int64)
             pick = np.lexsort((comp, token))
             token, comp = token[pick], comp[pick]
             new = np.ones(len(token), bool)
             new[1:] = (token[1:] != token[:-1]) | (comp[1:] != comp[:-1])
             token, comp = token[new].astype(np.int64), comp[new]
             for lo in range(0, len(token), 100_000):
-                yield _rows(TOKEN, token[lo : lo + 100_000], comp[lo : lo + 100_000])
+                yield _rows(TIE, token[lo : lo + 100_000], comp[lo : lo + 100_000])
 
     return run
 
 
-def _spanning(batches):
-    """mapInArrow function of step 3 over rows sorted by kind, key, value: n-grams of one component drop out.
+def _ties(batches):
+    """mapInArrow function of step 3 over rows sorted by kind, key, value.
 
-    Other kinds pass. Memory is one batch, whatever the size of an n-gram's group.
+    Ties each component to the first that holds its key, and counts the keys a component shares.
+    Other kinds pass. Memory is bounded, whatever the size of a key's group.
     """
-    last = None  # (key, value, already sent)
+    at = low = None
+    spans = False  # whether a second component holds the key `at`
+    ties, shares, held = [], [], 0
+
+    def flush():
+        a, b = np.unique(np.concatenate(ties, axis=1), axis=1)
+        yield _rows(TIE, a, b)
+        yield _rows(SHARES, *np.unique(np.concatenate(shares), return_counts=True))
+
     for batch in batches:
         kind, key, value = (c.to_numpy() for c in batch.columns)
-        other = kind != TOKEN
+        other = kind != TIE
         if other.any():
             yield pa.RecordBatch.from_arrays([pa.array(kind[other]), pa.array(key[other]), pa.array(value[other])], ["kind", "key", "value"])
         key, value = key[~other], value[~other]
         if not len(key):
             continue
-        if last:
-            key, value = np.concatenate([[last[0]], key]), np.concatenate([[last[1]], value])
         new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (value[1:] != value[:-1])
-        key, value = key[new], value[new]
-        send = np.zeros(len(key), bool)
-        send[1:] = key[1:] == key[:-1]
-        send[:-1] |= send[1:]
-        if last and last[2]:
-            send[0] = False
-        if send.any():
-            yield _rows(TOKEN, key[send], value[send])
-        last = (key[-1], value[-1], bool(send[-1]) or bool(last and last[2] and len(key) == 1))
+        new[1:] = key[1:] != key[:-1]
+        run = np.cumsum(new) - 1
+        first = value[new]
+        spanned = np.zeros(len(first), bool)
+        if key[0] == at:
+            first[0], spanned[0] = low, spans
+        apart = value != first[run]
+        spanning = spanned.copy()
+        spanning[run[apart]] = True
+        at, low, spans = key[-1], first[-1], bool(spanning[-1])
+        if apart.any():
+            ties.append(np.stack([value[apart], first[run[apart]]]))
+            shares += [value[apart], first[spanning & ~spanned]]
+            held += len(ties[-1][0])
+        if held > TIES_HELD:
+            yield from flush()
+            ties, shares, held = [], [], 0
+    if ties:
+        yield from flush()
 
 
 def _join_groups(batches):
@@ -205,37 +241,31 @@ def link_components(docs: DataFrame, block_bytes: int = 24 << 20, id_col: str =
     width = shuffle_width(spark)
 
     local = rows.mapInArrow(_local(order), ROW).repartition(width, "kind", "key").sortWithinPartitions("kind", "key", "value")
-    found = publish(local.mapInArrow(_spanning, ROW), "ngram-spanning")
+    found = publish(local.mapInArrow(_ties, ROW), "ngram-ties")
     of = lambda kind, a, b: found.where(F.col("kind") == kind).select(F.col("key").alias(a), F.col("value").alias(b))
+    member = of(MEMBER, "id", "comp")
 
     n = F.col("n")
-    spare = F.least(n, F.floor(n * SENT / 10).cast("long") + 2) - F.col("spanning")  # n-grams sent that no other component holds
-    prefix = n - F.ceil(n * 4 / 5).cast("long") + 1
-    member, tokens = of(MEMBER, "id", "comp"), of(TOKEN, "token", "comp")
+    shares = of(SHARES, "comp", "keys").groupBy("comp").agg(F.sum("keys").alias("keys"))
     many = member.select("comp").distinct().withColumn("many", F.lit(True))
-    sizes = of(SIZE, "comp", "n").distinct()
-
-    def apart(tokens: DataFrame) -> DataFrame:
-        """N-grams that several components hold, each row with the first of them."""
-        return tokens.join(tokens.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("token", "low"), "token")
-
-    def cluster(tokens: DataFrame, label: str) -> DataFrame:
-        edges = tokens.select(F.col("comp").alias("a"), F.col("low").alias("b"))
-        return publish(components(edges, label).select(F.col("node").alias("comp"), F.col("root").alias("cluster")), label)
+    held = shares.join(of(SIZE, "comp", "n").distinct(), "comp").join(many, "comp", "left")
+    stays = publish(held.where(F.col("many") | (F.col("keys") > F.floor(n * SLACK / 100))).select("comp").distinct(), "ngram-stays")
+    ties = publish(of(TIE, "a", "b").join(stays, F.col("a") == F.col("comp"), "left_semi").distinct(), "ngram-distinct-ties")
 
-    for _ in range(PRUNINGS):  # each document that leaves takes n-grams with it that may have tied others
-        held = tokens.groupBy("comp").agg(F.count("*").alias("spanning")).join(sizes, "comp").join(many, "comp", "left")
-        stays = held.where(F.col("many") | (spare < prefix)).select("comp").distinct()
-        tokens = publish(apart(tokens.select("token", "comp").join(stays, "comp")).select("token", "comp", "low"), "ngram-tokens")
+    def cluster(ties: DataFrame, label: str) -> DataFrame:
+        return publish(components(ties, label).select(F.col("node").alias("comp"), F.col("root").alias("cluster")), label)
 
-    clusters = cluster(tokens, "ngram-clusters")
+    clusters = cluster(ties, "ngram-clusters").join(stays, "comp", "left_semi")
     wanted = clusters.join(member, "comp").select("id", "comp", "cluster").union(clusters.select(F.col("comp").alias("id"), "comp", "cluster"))
     members = publish(wanted.join(rows, "id").select(F.col("id").alias("doc"), "comp", "cluster", "t"), "ngram-members")
 
     first = publish(_exact(members.where("doc = comp"), block_bytes), "ngram-links")
     roots = components(first, "ngram-round1")
     named = lambda df: df.join(roots, F.col("comp") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "comp")).drop("node", "root")
-    again = cluster(apart(named(tokens.drop("low"))), "ngram-again")
+    rooted = ties
+    for end in ("a", "b"):
+        rooted = named(rooted.withColumnRenamed(end, "comp")).withColumnRenamed("comp", end)
+    again = cluster(rooted, "ngram-again")
     rest = named(members.drop("cluster")).join(again, "comp").select("cluster", "doc", "comp", "t")
     second = _exact(rest, block_bytes)
 
