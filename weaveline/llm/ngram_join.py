@@ -250,7 +250,8 @@ def link_components(docs: DataFrame, block_bytes: int = 24 << 20, id_col: str =
     many = member.select("comp").distinct().withColumn("many", F.lit(True))
     held = shares.join(of(SIZE, "comp", "n").distinct(), "comp").join(many, "comp", "left")
     stays = publish(held.where(F.col("many") | (F.col("keys") > F.floor(n * SLACK / 100))).select("comp").distinct(), "ngram-stays")
-    ties = publish(of(TIE, "a", "b").join(stays, F.col("a") == F.col("comp"), "left_semi").distinct(), "ngram-distinct-ties")
+    every_tie = publish(of(TIE, "a", "b").distinct(), "ngram-distinct-ties")  # written, as Catalyst moves a semi-join below distinct
+    ties = every_tie.join(stays, F.col("a") == F.col("comp"), "left_semi")
 
     def cluster(ties: DataFrame, label: str) -> DataFrame:
         return publish(components(ties, label).select(F.col("node").alias("comp"), F.col("root").alias("cluster")), label)
