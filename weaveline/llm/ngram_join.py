@@ -86,7 +86,7 @@ def _rows(kind, key, value) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(np.asarray(key).astype(np.int64)), pa.array(np.asarray(value).astype(np.int64))], ["kind", "key", "value"])
 
 
-def _slices(batches, most_bytes: int = 24 << 20):
+def _slices(batches, most_bytes: int = 12 << 20):
     """(ids, texts) of bounded total size."""
     ids, texts, held = [], [], 0
     for batch in batches:
@@ -161,8 +161,12 @@ def _ties(batches):
     ties, shares, held = [], [], 0
 
     def flush():
-        a, b = np.unique(np.concatenate(ties, axis=1), axis=1)
-        yield _rows(TIE, a, b)
+        a, b = np.concatenate(ties, axis=1)
+        pick = np.lexsort((b, a))
+        a, b = a[pick], b[pick]
+        new = np.ones(len(a), bool)
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        yield _rows(TIE, a[new], b[new])
         yield _rows(SHARES, *np.unique(np.concatenate(shares), return_counts=True))
 
     for batch in batches:
