@@ -330,6 +330,12 @@ def test_chain():
     assert [line.index((k * 6, 100 + k * 6)) for k in range(8)] == found[0]
 
 
+def test_chain_after_a_long_gap():
+    matches = [(k, k) for k in (*range(0, 500, 7), *range(560, 960, 7))]
+    found = sorted([matches[i] for i in path] for path in chain(matches))
+    assert found == [matches[:72], matches[72:]]
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
