@@ -12,7 +12,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-from weaveline.llm.chain_dedup import Fenwick, align, chain, common, fuzzy_passages
+from weaveline.llm.chain_dedup import Fenwick, align, chain, common, fuzzy_passages, passages
 from weaveline.llm.decontaminate import contaminated
 from weaveline.llm.exact_dedup import Chain, Directory, exact_groups, keep_one
 from weaveline.llm.html_text import extract_pages, main_text
@@ -336,6 +336,25 @@ def test_chain_after_a_long_gap():
     assert found == [matches[:72], matches[72:]]
 
 
+def test_every_passage_of_an_alignment():
+    new = iter(range(1000, 10000))
+
+    def text(parts, between):
+        words = []
+        for k, part in enumerate(parts):
+            words += [next(new) for _ in range(between if k else 0)] + part
+        return words
+
+    equal = [list(range(k, k + 50)) for k in (0, 100, 200)]
+    for parts, between in ((equal[:2], 25), (equal, 20), (equal, 60)):
+        a, b = text(parts, between), text(parts, between)
+        found = passages(a, b)
+        assert all(agree >= 0.8 for *_, agree in found)
+        for at in range(0, len(a), 50 + between):
+            assert any(i <= at and at + 50 <= i + n and j <= at and at + 50 <= j + m for i, n, j, m, _ in found)
+    assert passages([], [1]) == [] and passages(equal[0][:49], equal[0][:49]) == []
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
