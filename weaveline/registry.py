@@ -628,6 +628,13 @@ def weights_distractor(spark, d):
     return M.distractor_weight(sp.where("cand % 7 > 0"), truth_of(sp), 3.0).select("s1", "cand", "w")
 
 
+@query(f"WITH {SP} SELECT s1, cand, CASE WHEN y = 0 AND cand NOT IN (SELECT cand FROM truth) THEN CAST(3 AS DOUBLE) ELSE 1 END AS w FROM sp")
+def weights_distractor_all(spark, d):
+    """weights_distractor over all scored pairs; that one and its SQL leave out candidates divisible by 7."""
+    sp = V.scored_pairs(spark, d)
+    return M.distractor_weight(sp, truth_of(sp), 3.0).select("s1", "cand", "w")
+
+
 @query(f"WITH {CTX} SELECT s1, cand, CASE WHEN fn_eq = 0 AND NOT coalesce(list_contains(string_split(nj_a, ' '), fnum_c), FALSE) AND n_ratio >= 70 THEN CAST(2 AS DOUBLE) ELSE 1 END AS w FROM (SELECT ctx.*, cand.nj_a FROM ctx JOIN cand ON ctx.s1 = cand.s1 AND ctx.cand = cand.cand)")
 def weights_sibling(spark, d):
     f = P.number_features(N.tokens(F.col("nj_a")), N.tokens(F.col("nj_b")))
