@@ -355,6 +355,20 @@ def test_every_passage_of_an_alignment():
     assert passages([], [1]) == [] and passages(equal[0][:49], equal[0][:49]) == []
 
 
+def test_passages_of_long_words(spark):
+    rng = random.Random(3)
+
+    def long_words(n):
+        return ["".join(rng.choice("abcdef") for _ in range(60)) for _ in range(n)]
+
+    rows = []
+    for k in range(20):
+        shared = long_words(50)
+        rows += [(2 * k + i, " ".join(long_words(30) + shared + long_words(30)), None, None, None) for i in range(2)]
+    got = {(r.doc_id, r.source_id, r.n_words) for r in fuzzy_passages(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {(2 * k + 1, 2 * k, 50) for k in range(20)}
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
