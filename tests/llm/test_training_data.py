@@ -369,6 +369,40 @@ def test_passages_of_long_words(spark):
     assert got == {(2 * k + 1, 2 * k, 50) for k in range(20)}
 
 
+def uncovered(spark, rows):
+    """Runs of 50 words that an earlier document holds and no reported span, or spans of one source that meet, cover."""
+    spans, first, missing = collections.defaultdict(list), {}, []
+    got = fuzzy_passages(spark.createDataFrame([(i, t, None, None, None) for i, t in rows], DOCS)).collect()
+    for r in sorted(got, key=lambda r: (r.doc_id, r.source_id, r.start_byte)):
+        span, have = [r.source_id, r.start_byte, r.stop_byte if r.stop_byte is not None else 1 << 60], spans[r.doc_id]
+        if have and have[-1][0] == span[0] and span[1] <= have[-1][2] + 1:
+            have[-1][2] = max(have[-1][2], span[2])
+        else:
+            have.append(span)
+    for i, t in sorted(rows):
+        w, ends = t.split(" "), [-1]
+        for x in w:
+            ends.append(ends[-1] + 1 + len(x))
+        for k in range(len(w) - 49):
+            if first.setdefault(tuple(w[k : k + 50]), i) != i and not any(a <= ends[k] + 1 and ends[k + 50] <= b for _, a, b in spans[i]):
+                missing.append((i, k))
+    return missing
+
+
+def test_passages_whose_parts_have_other_holders(spark):
+    rng = random.Random(8)
+    rows, at = [], 0
+    for size in (60, 60, 50, 55, 75):
+        p = prose(size, rng).split()
+        for part in (p[:30], p[25:], p, p[:30], p[25:], p, p[:40], p[20:], p):
+            rows.append((at, " ".join([prose(40, rng), *part, prose(40, rng)])))
+            at += 1
+    assert uncovered(spark, rows) == []
+    again = [(0, "b " * 300 + prose(30, rng)), (1, prose(30, rng) + " b" * 300), (2, prose(9, rng) + " b c d" * 90), (3, "c d b " * 120 + prose(9, rng))]
+    assert uncovered(spark, again) == []
+    assert 0 < fuzzy_passages(spark.createDataFrame([(i, t, None, None, None) for i, t in again], DOCS)).count() < 30
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 

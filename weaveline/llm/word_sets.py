@@ -81,6 +81,13 @@ def shingles(owner: np.ndarray, words: np.ndarray, n: int = WORDS) -> tuple[np.n
     return who, mix(h), at
 
 
+def hash_windows(words: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the n words from each of the places on."""
+    total = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(mix(words) * powers(_BASE, len(words))[: len(words)], out=total[1:])
+    return mix((total[at + n] - total[at]) * powers(_INVERSE, len(words) + 1)[at])
+
+
 def sets_of(texts: list[bytes], group: int = 64) -> list[np.ndarray]:
     """For each text its distinct shingles, ascending (63-bit hashes)."""
     out: list[np.ndarray] = []
