@@ -289,6 +289,14 @@ def test_decontamination(spark, docs):
     assert contaminated(frame, spark.createDataFrame(items[2:4], "item_id long, text string")).count() == 0
 
 
+def test_decontamination_of_short_items(spark):
+    items = [(k, " ".join(f"q{k}{i}" for i in range(k))) for k in (1, 2, 3, 4)]
+    rows = [(k, f"{prose(20)} {item.upper()} {prose(7)}") for k, item in items] + [(5, f"{items[2][1]} x"), (6, "q40 q41 q43 q42 y"), (7, f"{items[1][1]} {prose(5)} {items[1][1]}"), (8, items[3][1])]
+    frame = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], DOCS)
+    got = {(r.doc_id, r.item_id, r.start_word, r.n_words, r.similarity, r.n_windows) for r in contaminated(frame, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(k, k, 20, k, 1.0, 1) for k in (1, 2, 3, 4)} | {(5, 3, 0, 3, 1.0, 1), (7, 2, 0, 2, 1.0, 2), (8, 4, 0, 4, 1.0, 1)}
+
+
 def test_fuzzy_passages(spark, docs):
     got = fuzzy_passages(docs).collect()
     first, need = {}, set()

@@ -1,7 +1,7 @@
 """Benchmark decontamination with DataFrame functions only.
 
 Windows of an item's size are laid over a document wherever one of its 5-word shingles also is
-in an item, aligned on that shingle. Each window and item has a 64-bit SimHash of its shingles,
+in an item, aligned on that shingle, and wherever it has the words of an item under five words. Each window and item has a 64-bit SimHash of its shingles,
 weighted by how often they occur. Windows meet items of their size in multi-index Hamming
 blocks: RADIUS + 1 blocks of bits, of which two fingerprints within RADIUS share at least one
 unchanged. Candidates within RADIUS are verified by exact weighted-shingle similarity, the sum
@@ -39,6 +39,11 @@ def shingle_hashes(w: Column) -> Column:
     return F.when(F.size(w) >= WORDS, each).otherwise(whole)
 
 
+def run_hashes(w: Column, m: int) -> Column:
+    """Hashes of the runs of m words, as shingle_hashes has them for a text of m < WORDS words; w has m words at least."""
+    return F.transform(F.sequence(F.lit(0), F.size(w) - m), lambda i: F.xxhash64(F.array_join(F.slice(w, i + 1, m), " ")))
+
+
 def simhash(hashes: Column) -> Column:
     """Bit b is set when more shingle occurrences have it than not."""
     votes = lambda b: F.aggregate(hashes, F.lit(0).cast("bigint"), lambda a, h: a + F.expr("1L").bitwiseAND(F.call_function("shiftrightunsigned", h, b)))
@@ -72,7 +77,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
         seeds = F.broadcast(seeds)
 
     rows = docs.select(F.col(id_col).alias("doc"), words(F.col(text_col)).alias("w")).where(F.size("w") > 0)
-    placed = rows.select("doc", "w", F.posexplode(shingle_hashes(F.col("w"))).alias("pos", "h")).join(seeds, "h")
+    places = rows.select("doc", "w", F.posexplode(shingle_hashes(F.col("w"))).alias("pos", "h"))
+    for (m,) in items.where(F.col("m") < WORDS).select("m").distinct().collect():
+        places = places.union(rows.where(F.size("w") > m).select("doc", "w", F.posexplode(run_hashes(F.col("w"), m)).alias("pos", "h")))
+    placed = places.join(seeds, "h")
     start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("offset"), F.size("w") - F.col("m")))
     windows = placed.select("doc", "m", start.alias("start"), F.slice("w", start + 1, F.col("m")).alias("ww")).groupBy("doc", "m", "start").agg(F.max("ww").alias("ww"))
     windows = windows.select("doc", "m", "start", shingle_hashes(F.col("ww")).alias("hashes"))
