@@ -20,7 +20,7 @@ from weaveline.llm.shared import publish, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are null, have no letters or resemble no learned language go."""
+    """Documents that are null or have no letters go; a text in no learned language stays, as identify names the nearest one."""
     packed = docs.select("doc_id", "text", "lang", F.struct(*docs.columns).alias("row"))
     return identify(packed, keep=("row",)).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") > 0)).select("row.*")
 
