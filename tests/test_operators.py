@@ -17,7 +17,7 @@ def one(spark, value, f):
 
 
 def test_house_number(spark):
-    cases = {"Fl 1, Hillsboro, OR, 4544 Cornell Road": "4544", "393-D LAKE POINTE DR, MIDDLE ISLAND, NY": "393", "No 17 Impasse Scalbert, Lille": "17", "Lille, Nord": "", "": "", "007, 12 Elm St": "12"}
+    cases = {"Fl 1, Hillsboro, OR, 4544 Cornell Road": "4544", "393-D LAKE POINTE DR, MIDDLE ISLAND, NY": "393", "No 17 Impasse Scalbert, Lille": "17", "Lille, Nord": "", "": "", "007, 12 Elm St": "12", "№5 Main St": "5", "Plot No. 7-B, Sector 4": "7", "H.No. (12) Lane": "12", "P.O. Box 9 Town, 3 Oak Rd": "3", "#4b, 9 Elm": "9", "# 12 Elm": "12", "Lotus 5 Road": "", "n° 8 rue Bleue": "8", "N 8 Main": "", "No: 5 Main": "", "Улица 5 дом": "", "12": "", "Apt-5 Block, 0012 Rd": "12"}
     rows = spark.createDataFrame(list(cases.items()), "a string, e string").select("a", "e", N.house_number(F.col("a")).alias("h")).collect()
     assert [(r.a, r.h) for r in rows] == [(r.a, r.e) for r in rows]
 
@@ -28,11 +28,18 @@ def test_core_name(spark):
     assert one(spark, "Group", core) == "group"
     assert one(spark, "www.blue-sky.co.in", core) == "blue sky"
     assert one(spark, None, core) == ""
+    full = lambda c: F.array_join(N.name_tokens(c)[0], " ")
+    assert one(spark, "Gym/Spa Centre", full) == "gym spa center"
+    assert one(spark, "Farm/Shop Ltd", full) == "farm shop limited"
+    assert one(spark, "M/S Blue Sky", full) == "blue sky"
 
 
 def test_joined_numbers(spark):
     text = lambda c: F.array_join(N.joined_numbers(N.address_text(c, F.lit("India"))), " ")
     assert one(spark, "8-2-293/83A, Road No. 44", text) == "8229383a 44"
+    words = lambda c: F.array_join(N.address_tokens(N.address_text(c, F.lit("US")), F.lit("US")), " ")
+    assert one(spark, "№5 Main St", words) == "5 main street"
+    assert one(spark, "5th Ave, <null>, h. no. 3 n/a", words) == "5 avenue 3"
 
 
 def test_house_relation(spark):
@@ -72,13 +79,36 @@ def test_tsv_round_trip(spark, tmp_path):
 
 
 def test_lcs_twin(spark):
-    rows = [("kitten", "sitting"), ("", "a"), ("abc", ""), ("", ""), ("été", "tee")]
+    rows = [("kitten", "sitting"), ("", "a"), ("abc", ""), ("", ""), ("été", "tee"), ("ab" * 31, "ba" * 40), ("ab" * 40, "bca" * 5), ("abc" * 25, "cab" * 25)]
     got = spark.createDataFrame(rows, "a string, b string").select("a", "b", S.lcs_column(F.col("a"), F.col("b")).alias("n")).collect()
     assert all(r.n == S.lcs(r.a, r.b) for r in got)
 
 
-def test_greedy_diff():
-    assert S.greedy_diff("north star trading", "north star tradng group") == (["group"], [])
+def paired(a, b):
+    """Definition of the token difference, on lists of distinct tokens."""
+    own = lambda x, y: [t for i, t in enumerate(x) if t not in y and t not in x[:i] and len(t) > 1]
+    left, free, stay = own(b, a), own(a, b), []
+    while left:
+        t = left.pop(0)
+        fit = max(free, key=lambda m: S.ratio(t, m), default=None)
+        if fit is not None and S.ratio(t, fit) >= 70:
+            free = [m for m in free if m != fit]
+        else:
+            stay.append(t)
+    return stay, free
+
+
+def test_token_diff(spark):
+    import random
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcé") for _ in range(rng.randint(1, 6)))
+    rows = [("north star trading", "north star tradng group"), ("", ""), ("a bb", ""), ("x" * 70 + " y", "x" * 69 + "z yy")]
+    rows += [(" ".join(word() for _ in range(rng.randint(0, 6))), " ".join(word() for _ in range(rng.randint(0, 6)))) for _ in range(200)]
+    got = spark.createDataFrame(rows, "a string, b string").select("a", "b", S.token_diff(F.col("a"), F.col("b")).alias("t")).collect()
+    assert [(r.t.extra, r.t.missing) for r in got] == [paired(r.a.split(), r.b.split()) for r in got]
+    marked = spark.createDataFrame([("blue sky", "acme dba blue sky cafe"), (None, "one")], "a string, b string").select(S.token_diff(F.col("a"), F.col("b")).alias("t")).collect()
+    assert [(r.t.extra, r.t.missing) for r in marked] == [(["cafe"], []), (["one"], [])]
 
 
 @settings(max_examples=200, deadline=None)

@@ -62,6 +62,13 @@ ADDRESS_BY_COUNTRY = {
     },
 }
 ADDRESS_DROP = "city cty unit apt ste suite pmb po box no hno door hn null none nan na".split()
+UNITS = "unit apt apartment fl floor suite ste pmb box room rm bldg building lot".split()
+MARKED_UNITS = "apt apartment unit lot".split()
+NUMBER_WORDS = "no n° nº hno khno plotno doorno".split()
+#: Patterns that addresses are cleaned by (a number sign, a word for a missing value, an ordinal).
+NUMBER_SIGN = r"\bn\s*[°º]|№|#|\bh\.?\s*no\b\.?|\bno\."
+NULL_WORD = r"<\s*null\s*>|\bn/a\b|\bnull\b"
+ORDINAL = r"\b(\d+)(?:st|nd|rd|th)\b"
 MARKERS = ["dba", "d b a", "fka", "f k a", "aka", "a k a", "t a", "formerly known as", "formerly", "trading as", "doing business as", "known as", "nee"]
 FRENCH = {"compagnie": "company", "societe": "company", "associes": "associates", "et": "and", "fils": "sons", "groupe": "group", "holding": "holdings", "developpement": "development"}
 FRENCH_LEGAL = FRENCH | dict.fromkeys(["sarl", "sas", "sasu", "eurl", "sa", "sci", "snc", "ei"], "llc")

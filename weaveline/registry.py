@@ -142,7 +142,7 @@ def ascii_fold(spark, d):
 
 ABBR = "CASE t " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in W.NAME_ABBR.items()) + " ELSE t END"
 IN = lambda ws: ", ".join(f"'{w}'" for w in ws)
-FULL = f"""full_t AS (SELECT id, list_transform(list_filter(regexp_extract_all(replace({DOT}, '&', ' and '), '[a-z0-9]+'), lambda t: t NOT IN ({IN(W.HONOR)})), lambda t: {ABBR}) AS raw FROM ent),
+FULL = f"""full_t AS (SELECT id, list_transform(list_filter(regexp_extract_all(replace(regexp_replace({DOT}, '\\bm/s\\b', ' ', 'g'), '&', ' and '), '[a-z0-9]+'), lambda t: t NOT IN ({IN(W.HONOR)})), lambda t: {ABBR}) AS raw FROM ent),
 names AS (SELECT id, list_filter(raw, lambda t, i: i = 1 OR raw[i - 1] <> t) AS ts FROM full_t),
 cores AS (SELECT id, ts, list_filter(ts, lambda t: t NOT IN ({IN(W.LEGAL)})) AS c FROM names)"""
 
@@ -182,6 +182,14 @@ def norm_addr(spark, d):
     return V.entities(spark, d).select("id", F.array_join(N.address_tokens(N.address_text(F.col("addr"), F.lit("US")), F.lit("US")), " ").alias("af"))
 
 
+@query(f"SELECT p_partkey AS id, p_partkey || ' main street ' || p_size || ' oak avenue' AS af, p_partkey || ' ' || p_size AS nj, CAST(p_partkey AS VARCHAR) AS hn, 'gym spa center' AS nf FROM part")
+def norm_marks(spark, d):
+    """Marks inside names and addresses: m/s only as a word, the sign for numbers, h. no. and a word for null."""
+    addr = F.concat(F.lit("№"), F.col("p_partkey").cast("string"), F.lit(" Main St, h. no. "), F.col("p_size").cast("string"), F.lit(" Oak Ave, <null>"))
+    e = V.read(spark, d, "part").select(F.col("p_partkey").alias("id"), addr.alias("addr"), F.lit("M/S Gym/Spa Centre").alias("name"), F.lit("US").alias("country"))
+    return N.normalize_records(e).select("id", "af", "nj", "hn", "nf")
+
+
 @query()
 def normalize_records(spark, d):
     return N.normalize_records(V.entities(spark, d)).select("id", "nf", "nc", "dom", "af", "nj", "ns", "nl_name", "nl_addr", "hn")
