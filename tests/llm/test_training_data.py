@@ -80,6 +80,17 @@ def test_exact(spark, docs):
     assert exact_groups(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_slices_by_bytes():
+    from weaveline.llm.shared import by_bytes
+
+    batch = pa.record_batch({"t": pa.array(["", None, "abc", "d" * 50, "e", "ff"])})
+    for most in (1, 3, 20, 99):
+        parts = list(by_bytes(batch, 0, most))
+        assert sum((p.column(0).to_pylist() for p in parts), []) == batch.column(0).to_pylist()
+        assert all(p.num_rows == 1 or sum(len(t or "") for t in p.column(0).to_pylist()) <= most for p in parts)
+    assert list(by_bytes(batch.slice(0, 0), 0, 9)) == []
+
+
 def test_directory_and_chain():
     d = Directory()
     a, b = d.split((0, 0))
@@ -101,7 +112,7 @@ STRANGE = ["a", "e", "th", "the", " ", "  ", "\n", "é", "▁", "日本", "🙂"
 
 def test_pieces(library):
     vocab = vocabulary(piece_model())
-    count, coder = Counter(vocab, 50), Encoder(vocab, 50)
+    count, coder = Counter(vocab, 9000), Encoder(vocab, 30_000)
     for _ in range(1500):
         text = "".join(RNG.choice(STRANGE) for _ in range(RNG.randint(0, 40)))
         ids = library.encode(text)
@@ -157,6 +168,33 @@ def test_language(spark):
     assert identify(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_language_of_long_texts():
+    from weaveline.llm import language_id as L
+
+    rng = random.Random(4)
+    texts = [bytes(rng.choice(b"ab \xc3\xa9z") for _ in range(n)) for n in (0, 1, 99, 100, 101, 102, 350, 5)]
+    whole = sorted(zip(*(x.tolist() for x in L.grams(texts))))
+    piece, L.PIECE = L.PIECE, 100
+    try:
+        parts = [p for who, code in L.grams_in_pieces(texts) for p in zip(who.tolist(), code.tolist())]
+        assert set(parts) == set(whole)  # an n-gram at a cut may come twice
+        assert L.has_letter("é".encode() * 99) and not L.has_letter(b"\xe2\x82\xac" * 99)
+    finally:
+        L.PIECE = piece
+    long = ("the and of that " * 70_000).encode()
+    kernel = L.Kernel.fit([b"the and of that", b"der die und das"], ["en", "de"])
+    assert len(long) > L.PIECE and np.allclose(kernel.score([long, b"the and of that the"]), kernel.score([b"the and of that the"] * 2), atol=1e-6)
+
+
+def test_words_of_long_texts(monkeypatch):
+    from weaveline.llm import word_sets
+
+    texts = [(t or "").encode() for _, t, *_ in ROWS] + [b"x" * 3000, b" " * 900]
+    whole = word_sets.words_of(texts)
+    monkeypatch.setattr(word_sets, "PIECE", 500)
+    assert all((a == b).all() for a, b in zip(whole, word_sets.words_of(texts)))
+
+
 def shingle_set(text):
     w = [x for x in (text or "").translate(AZ).replace("\n", " ").replace("\t", " ").split(" ") if x]
     return frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])

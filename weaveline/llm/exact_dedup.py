@@ -10,7 +10,9 @@ all documents look their entry up.
 
 Defined cases: null counts as the empty text; of equal texts the row with the largest doc_id
 stays, null doc_ids below all others; rows repeated with the same doc_id and text are all
-marked as the one that stays; an empty table gives an empty index and no rows.
+marked as the one that stays (keep_one keeps one of them); an empty table gives an empty index
+and no rows; a very long text is one row like any other, read whole; columns of any other name,
+those of the result included, are carried through keep_one as they are.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import FOLD, fold_ascii, publish, shuffle_width
+from .shared import FOLD, by_bytes, fold_ascii, publish, shuffle_width
 
 KEY_BITS = 60
 
@@ -121,7 +123,7 @@ def _entries(found: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), kinds)], ["bucket", "key", "text", "id", "n", "ties"])
 
 
-def fold_copies(starts: np.ndarray, flush_bytes: int = 32 << 20):
+def fold_copies(starts: np.ndarray, flush_bytes: int = 12 << 20):
     """mapInArrow function: normalise, and fold the copies that one task meets, in bounded memory."""
 
     def run(batches):
@@ -129,22 +131,31 @@ def fold_copies(starts: np.ndarray, flush_bytes: int = 32 << 20):
         held = 0
 
         def drain():
-            found = [(int(np.searchsorted(starts, k, "right")) - 1, k, *e) for k, c in table.items() for e in c.entries]
+            found, size = [], 0
+            for k, c in table.items():
+                bucket = int(np.searchsorted(starts, k, "right")) - 1
+                for e in c.entries:
+                    found.append((bucket, k, *e))
+                    size += len(e[0]) + 200
+                    if size > 2 << 20:
+                        yield _entries(found)
+                        found, size = [], 0
             table.clear()
-            for lo in range(0, len(found), 2000):
-                yield _entries(found[lo : lo + 2000])
-
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                text = (text or b"").translate(FOLD)
-                key = key_of(text)
-                if key not in table:
-                    table[key] = Chain()
-                    held += len(text) + 200
-                table[key].add(text, doc_id, 1, 1)
-                if held > flush_bytes:
-                    yield from drain()
-                    held = 0
+            if found:
+                yield _entries(found)
+
+        for whole in batches:
+            for batch in by_bytes(whole, 1, 2 << 20):
+                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    text = (text or b"").translate(FOLD)
+                    key = key_of(text)
+                    if key not in table:
+                        table[key] = Chain()
+                        held += len(text) + 200
+                    table[key].add(text, doc_id, 1, 1)
+                    if held > flush_bytes:
+                        yield from drain()
+                        held = 0
         yield from drain()
 
     return run
@@ -159,7 +170,7 @@ def own_buckets(batches):
     def close():
         out.extend((*at, i, hashlib.sha256(e[0]).hexdigest(), e[1], e[2], e[3]) for i, e in enumerate(chain.entries))
 
-    for batch in batches:
+    for batch in (part for whole in batches for part in by_bytes(whole, 2, 2 << 20)):
         for bucket, key, text, doc_id, n, ties in zip(*(c.to_pylist() for c in batch.columns)):
             if (bucket, key) != at:
                 if at:
@@ -194,23 +205,27 @@ def build_index(docs: DataFrame, bucket_bytes: int = 2 << 20, most_buckets: int
     return publish(owners.mapInArrow(own_buckets, INDEX), "dedup-index")
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), **options) -> DataFrame:
-    """id, keep_id, group_size, kept, text_sha256, n_keep for every row (and the columns named in keep).
+def _looked_up(docs: DataFrame, index: DataFrame, id_col: str, text_col: str, columns: dict[str, str]) -> DataFrame:
+    """__id, __sha and the columns (new name: old name) of every row, beside its entry of the index."""
+    rows = docs.select(F.col(id_col).alias("__id"), F.sha2(fold_ascii(F.col(text_col)).cast("binary"), 256).alias("__sha"), *[F.col(old).alias(new) for new, old in columns.items()])
+    return rows.join(index, F.col("__sha") == F.col("text_sha256"))
+
+
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """id, keep_id, group_size, kept, text_sha256, n_keep for every row.
 
     n_keep: rows that carry the keep_id with this text; above 1 only where rows repeat.
     """
     index = build_index(docs, id_col=id_col, text_col=text_col, **options).select("text_sha256", "keep_id", "group_size", "n_keep")
-    rows = docs.select(F.col(id_col).alias("__id"), F.sha2(fold_ascii(F.col(text_col)).cast("binary"), 256).alias("__sha"), *[F.col(c).alias(f"__k{i}") for i, c in enumerate(keep)])
-    out = rows.join(index, F.col("__sha") == F.col("text_sha256"))
-    return out.select(F.col("__id").alias(id_col), "keep_id", "group_size", F.col("__id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "n_keep", *[F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)])
+    return _looked_up(docs, index, id_col, text_col, {}).select(F.col("__id").alias(id_col), "keep_id", "group_size", F.col("__id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "n_keep")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs that stay, one of each group of equal texts, with all their columns."""
-    packed = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("__text"), F.struct(*docs.columns).alias("__row"))
-    groups = exact_groups(packed, "__doc", "__text", keep=("__row",), **options).where("kept")
-    once = groups.where("n_keep = 1").select("__row.*")
-    tied = groups.where("n_keep > 1")
-    if not tied.take(1):
-        return once
-    return once.union(tied.dropDuplicates(["text_sha256"]).select("__row.*"))
+    index = build_index(docs, id_col=id_col, text_col=text_col, **options).select("text_sha256", "keep_id", "n_keep")
+    columns = {f"__c{i}": c for i, c in enumerate(docs.columns)}
+    kept = _looked_up(docs, index, id_col, text_col, columns).where(F.col("__id").eqNullSafe(F.col("keep_id")))
+    named = [F.col(new).alias(old) for new, old in columns.items()]
+    if not index.where("n_keep > 1").take(1):
+        return kept.select(named)
+    return kept.where("n_keep = 1").select(named).union(kept.where("n_keep > 1").dropDuplicates(["text_sha256"]).select(named))

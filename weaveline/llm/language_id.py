@@ -11,33 +11,41 @@ The classifier is fitted on a bounded sample: at most per_lang rows of each lang
 most longest characters, the smallest by a hash of the identifier. Everything else reads all
 rows and whole texts.
 
-Defined cases: a null text or one without letters is `und` with score 0; without any labelled
-row every text is `und`; a null doc_id is neither held out nor learned from; repeated rows are
-judged one by one.
+Defined cases: a null or empty text or one without letters is `und` with score 0; without any
+labelled row every text is `und`; a null doc_id is neither held out nor learned from; repeated
+rows are judged one by one; of equal scores the first language by name wins; a very long text is
+read whole, in pieces, so that memory beyond the text itself is bounded; an empty table gives no
+rows; columns of any name may follow, those named in keep are carried along under their names.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import by_bytes
+
 UNKNOWN = "und"
 #: Bytes to symbols: A-Z as a-z 1..26, bytes from 128 up 27..154, any other byte 0 (a gap).
 SYMBOL = np.zeros(256, np.int32)
 SYMBOL[97:123] = SYMBOL[65:91] = np.arange(1, 27)
 SYMBOL[128:] = np.arange(27, 155)
 N = 155
+LATIN = re.compile(rb"[A-Za-z]")
 
+#: Bytes whose n-grams are worked out at a time.
+PIECE = 1 << 20
 
-def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, n-gram code) of all n-grams of a batch; none crosses texts."""
-    joined = np.frombuffer(b" " + b" ".join(texts) + b" ", np.uint8)
-    owner = np.repeat(np.arange(len(texts)), [len(t) + 1 for t in texts])
-    s = SYMBOL[joined]
+
+def _codes(data: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, n-gram code) of the n-grams that end after the first two bytes, and of the pair and letter before; owner belongs to data[1:]."""
+    s = SYMBOL[data]
     one, two, three = s[1:], s[:-1] * N + s[1:], (s[:-2] * N + s[1:-1]) * N + s[2:]
-    # owner[i] belongs to the byte at 1 + i; a gap lies between texts, so an n-gram is its last byte's.
+    # A gap lies between texts, so an n-gram is its last byte's, or its centre's.
     letter2, letter3 = (s[:-1] > 0) | (s[1:] > 0), s[1:-1] > 0
     return (
         np.concatenate([owner[s[1:] > 0], owner[letter2], owner[: len(three)][letter3]]),
@@ -45,6 +53,27 @@ def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     )
 
 
+def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, n-gram code) of all n-grams of a batch; none crosses texts."""
+    joined = np.frombuffer(b" " + b" ".join(texts) + b" ", np.uint8)
+    return _codes(joined, np.repeat(np.arange(len(texts)), [len(t) + 1 for t in texts]))
+
+
+def grams_in_pieces(texts: list[bytes]):
+    """grams of a batch, of texts above PIECE piece by piece; n-grams at a cut come with the piece behind it, which goes two bytes back."""
+    short = [i for i, t in enumerate(texts) if len(t) <= PIECE]
+    if short:
+        who, code = grams([texts[i] for i in short])
+        yield np.array(short)[who], code
+    for i, text in enumerate(texts):
+        if len(text) > PIECE:
+            whole = np.frombuffer(text, np.uint8)
+            for lo in range(0, len(text), PIECE):
+                part = whole[max(0, lo - 2) : lo + PIECE]
+                part = np.concatenate([[32] if not lo else [], part, [32] if lo + PIECE >= len(text) else []]).astype(np.uint8)
+                yield _codes(part, np.full(len(part) - 1, i))
+
+
 class Kernel:
     """Fitted classifier: n-gram columns, folded weights (n-grams x languages) and the languages."""
 
@@ -54,8 +83,8 @@ class Kernel:
     @staticmethod
     def presence(texts: list[bytes], column: np.ndarray, width: int) -> np.ndarray:
         x = np.zeros((len(texts), width + 1), np.float32)
-        who, code = grams(texts)
-        x[who, column[code]] = 1
+        for who, code in grams_in_pieces(texts):
+            x[who, column[code]] = 1
         return x[:, :width]
 
     @classmethod
@@ -86,9 +115,9 @@ class Kernel:
 
 
 def has_letter(text: bytes) -> bool:
-    if any(97 <= b <= 122 or 65 <= b <= 90 for b in text[:64]):
+    if LATIN.search(text):
         return True
-    return any(c.isalpha() for c in text.decode("utf-8", "replace"))
+    return any(c.isalpha() for lo in range(0, len(text), PIECE) for c in text[max(0, lo - 3) : lo + PIECE].decode("utf-8", "ignore"))
 
 
 def held_out(id_col: str):
@@ -119,12 +148,13 @@ def sample(docs: DataFrame, per_lang: int, longest: int, id_col: str, text_col:
 def identify(docs: DataFrame, per_lang: int = 300, longest: int = 20_000, landmarks: int = 256, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: tuple[str, ...] = ()) -> DataFrame:
     """id, held_out, lang_pred, score for every row, learned from the labelled rows that are not held out.
 
-    keep: columns of docs to carry along after these.
+    keep: columns of docs to carry along after these. The text goes to the executors' Python once, also where it is kept.
     """
     texts, labels = sample(docs, per_lang, longest, id_col, text_col, lang_col)
     fitted = Kernel.fit(texts, labels, landmarks)
     used = np.flatnonzero(fitted.column < len(fitted.weights)) if len(fitted.langs) else np.zeros(0, np.int64)
     model = docs.sparkSession.sparkContext.broadcast((fitted.langs, used, fitted.column[used], fitted.weights))
+    first = 0 if text_col in keep else 1
 
     def run(batches):
         langs, at, place, weights = model.value
@@ -132,18 +162,19 @@ def identify(docs: DataFrame, per_lang: int = 300, longest: int = 20_000, landma
         column[at] = place
         kernel = Kernel(langs, column, weights)
         for whole in batches:
-            for lo in range(0, whole.num_rows, 64):
-                batch = whole.slice(lo, 64)
-                texts = [t or b"" for t in batch.column(0).to_pylist()]
-                names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-                if langs:
-                    s = kernel.score(texts)
-                    for i, k in enumerate(s.argmax(1)):
-                        if has_letter(texts[i]):
-                            names[i], scores[i] = langs[k], float(min(1.0, max(0.0, (s[i, k] + 1) / 2)))
-                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(scores, pa.float64()), *batch.columns[1:]], ["lang_pred", "score", *batch.schema.names[1:]])
-
-    kept = docs.select(F.col(text_col).cast("binary").alias("__t"), F.col(id_col).alias("__id"), held_out(id_col).alias("__held"), *[F.col(c).alias(f"__k{i}") for i, c in enumerate(keep)])
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema.fields[1:])
+            names, scores = [], []
+            for batch in by_bytes(whole, 0, PIECE, 64):
+                texts = [t or b"" for t in batch.column(0).cast(pa.binary()).to_pylist()]
+                best = kernel.score(texts) if langs else np.zeros((len(texts), 1))
+                for text, s, k in zip(texts, best.max(1).tolist(), best.argmax(1).tolist()):
+                    known = bool(langs) and has_letter(text)
+                    names.append(langs[k] if known else UNKNOWN)
+                    scores.append(min(1.0, max(0.0, (s + 1) / 2)) if known else 0.0)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64()), *whole.columns[first:]], ["lang_pred", "score", *whole.schema.names[first:]])
+
+    carried = {c: f"__k{i}" for i, c in enumerate(keep) if c != text_col}
+    kept = docs.select(F.col(text_col).cast("string").alias("__t"), F.col(id_col).alias("__id"), held_out(id_col).alias("__held"), *[F.col(c).alias(k) for c, k in carried.items()])
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema.fields[first:])
     rows = kept.mapInArrow(run, f"lang_pred string, score double, {fields}")
-    return rows.select(F.col("__id").alias(id_col), F.col("__held").alias("held_out"), "lang_pred", "score", *[F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)])
+    text = F.col("__t").cast(docs.schema[text_col].dataType) if not first else None
+    return rows.select(F.col("__id").alias(id_col), F.col("__held").alias("held_out"), "lang_pred", "score", *[(text if c == text_col else F.col(carried[c])).alias(c) for c in keep])

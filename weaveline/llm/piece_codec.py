@@ -11,7 +11,8 @@ Whether two pieces stay apart is decided once a pair, by merging their concatena
 memoised in a bounded table. Characters outside the vocabulary become byte pieces.
 
 Defined cases: null and empty texts have no identifiers and decode to the empty text; texts of
-any length need memory for their identifiers only; repeated rows are encoded one by one.
+any length need memory for their identifiers only; repeated rows are encoded one by one; an empty
+table gives no rows; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .piece_model import SPACE, Memo, Vocabulary, chunks, vocabulary
+from .shared import by_bytes
 
 
 def merge_pieces(text: str, vocab: Vocabulary) -> list[str]:
@@ -47,17 +49,17 @@ def merge_pieces(text: str, vocab: Vocabulary) -> list[str]:
 class Encoder:
     """Encodes and decodes whole texts under one vocabulary."""
 
-    def __init__(self, vocab: Vocabulary, memo_entries: int = 500_000):
+    def __init__(self, vocab: Vocabulary, memo_bytes: int = 240 << 20):
         self.vocab = vocab
         #: Each piece under itself if its own characters merge to it, else False; None as long as nobody has asked.
         self.whole: dict[str, str | bool | None] = dict.fromkeys(vocab.rank)
         #: One object for equal steps of the memo below.
         self.steps: dict[tuple[int, str], tuple[int, str]] = {}
-        self.pairs = Memo(lambda ab: merge_pieces(ab[0] + ab[1], vocab) == [*ab], 400_000)
+        self.pairs = Memo(lambda ab: merge_pieces(ab[0] + ab[1], vocab) == [*ab], memo_bytes // 4)
         #: Lattice columns by prefix: the surviving path's last step is a function of the prefix alone.
-        self.columns = Memo(None, memo_entries, 24)
-        self.words = Memo(lambda word: self.pack(SPACE + word.decode()), memo_entries // 2)
-        self.inner = Memo(self.ids, memo_entries)
+        self.columns = Memo(None, memo_bytes // 4, 24)
+        self.words = Memo(lambda word: self.pack(SPACE + word.decode()), memo_bytes // 4, each=220)
+        self.inner = Memo(self.ids, memo_bytes // 4, each=220)
         self.bytes_of = [b"" if t is None and r < 0 else bytes([r]) if r >= 0 else t.encode() for t, r in zip(vocab.text, vocab.raw)]
 
     def viterbi(self, text: str) -> list[int]:
@@ -152,8 +154,7 @@ def encode_documents(docs: DataFrame, model: bytes, id_col: str = "doc_id", text
     def run(batches):
         coder = coder_of(blob.value)
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
+            for batch in by_bytes(whole, 1, 2 << 20, 1000):
                 texts = [t or b"" for t in batch.column(1).to_pylist()]
                 packed = [coder.encode(t) for t in texts]
                 flat = np.frombuffer(b"".join(packed), np.int32)

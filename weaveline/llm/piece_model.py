@@ -68,11 +68,14 @@ def chunks(text: str) -> list[str]:
 
 
 class Memo(dict):
-    """Bounded memo of a function of a short chunk: two generations, the older dropped when the younger is full."""
+    """Memo of a function of a short chunk, bounded in bytes: two generations, the older dropped when the younger is full.
 
-    def __init__(self, compute, entries: int = 300_000, longest: int = 64):
+    An entry is taken to cost `each` bytes beside those of its key and a value of bytes.
+    """
+
+    def __init__(self, compute, most_bytes: int = 32 << 20, longest: int = 64, each: int = 160):
         super().__init__()
-        self.compute, self.entries, self.longest, self.old = compute, entries, longest, {}
+        self.compute, self.half, self.longest, self.each, self.held, self.old = compute, most_bytes // 2, longest, each, 0, {}
 
     def __missing__(self, key):
         value = self.old.get(key)
@@ -83,7 +86,10 @@ class Memo(dict):
         return value
 
     def put(self, key, value) -> None:
-        if len(self) >= self.entries:
+        if self.held >= self.half:
+            self.old = None
             self.old = dict(self)
             self.clear()
+            self.held = 0
+        self.held += self.each + len(key) + (len(value) if isinstance(value, bytes) else 0)
         self[key] = value

@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,10 +21,12 @@ _fallback: list[str] = []
 
 
 def shared_root(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """Folder that driver and executors share: spark.checkpoint.dir. Where it is unset a temporary one, in local mode only."""
     for read in (lambda: spark.conf.get("spark.checkpoint.dir", None), lambda: spark.sparkContext.getConf().get("spark.checkpoint.dir")):
         if found := read():
             return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir is unset: on a cluster it has to name a folder that driver and executors share")
     if not _fallback:
         _fallback.append("file://" + tempfile.mkdtemp(prefix="weaveline-"))
     return _fallback[0]
@@ -34,6 +40,17 @@ def publish(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def by_bytes(batch: pa.RecordBatch, column: int, most_bytes: int, most_rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch that hold most_bytes of one column, or one row where that alone is larger."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < batch.num_rows:
+        before = ends[lo - 1] if lo else 0
+        hi = max(lo + 1, min(lo + most_rows, int(np.searchsorted(ends, before + most_bytes, "right"))))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

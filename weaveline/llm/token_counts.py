@@ -6,7 +6,8 @@ is still current merges. The count is the number of initial symbols less the mer
 outside the vocabulary counts as its UTF-8 bytes); no identifiers are made.
 
 Defined cases: null counts as the empty text and has 0 bytes and 0 tokens; special strings in
-a text are ordinary text; repeated rows are counted one by one; an empty table gives an empty table.
+a text are ordinary text; repeated rows are counted one by one; an empty table gives an empty table;
+a very long text is counted whole, chunk by chunk; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .piece_model import SPACE, Memo, Vocabulary, chunks, vocabulary
+from .shared import by_bytes
 
 
 def count_merged(chunk: str, vocab: Vocabulary) -> int:
@@ -53,9 +55,9 @@ def count_merged(chunk: str, vocab: Vocabulary) -> int:
 class Counter:
     """Counts whole texts given as UTF-8 bytes."""
 
-    def __init__(self, vocab: Vocabulary, memo_entries: int = 600_000):
-        self.parts = Memo(lambda part: count_merged(part, vocab), memo_entries)
-        self.words = Memo(lambda word: self.count(SPACE + word.decode()), 2 * memo_entries)
+    def __init__(self, vocab: Vocabulary, memo_bytes: int = 160 << 20):
+        self.parts = Memo(lambda part: count_merged(part, vocab), memo_bytes // 3)
+        self.words = Memo(lambda word: self.count(SPACE + word.decode()), memo_bytes - memo_bytes // 3)
         self.cut = vocab.parts
 
     def count(self, marked: str) -> int:
@@ -75,10 +77,10 @@ def count_tokens(docs: DataFrame, model: bytes, limit: int = 4096, id_col: str =
 
     def count(batches):
         counter = Counter(vocabulary(blob.value))
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            sizes = [counter(t or b"") for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t or b"") for t in texts], pa.int64()), pa.array(sizes, pa.int64())], ["id", "n_bytes", "n_tokens"])
+        for whole in batches:
+            for batch in by_bytes(whole, 1, 4 << 20):
+                texts = [t or b"" for t in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([counter(t) for t in texts], pa.int64())], ["id", "n_bytes", "n_tokens"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t")).mapInArrow(count, "id long, n_bytes long, n_tokens long")
     return rows.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

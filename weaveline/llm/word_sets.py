@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 
 from .shared import FOLD
@@ -9,6 +11,7 @@ from .shared import FOLD
 WORDS = 5
 _GAP = np.zeros(256, bool)
 _GAP[[9, 10, 11, 12, 13, 32]] = True
+_SPACE = re.compile(rb"[\t-\r ]")
 _FOLD = np.frombuffer(FOLD, np.uint8)
 _RNG = np.random.default_rng(20240117)
 _VALUE = _RNG.integers(1, 2**63, 256, np.uint64) * 2 + 1
@@ -48,8 +51,44 @@ def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
     return mix(h + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+#: Bytes of texts that are cut into words at a time.
+PIECE = 4 << 20
+
+
+def _pieces(texts: list[bytes]):
+    """(text number, offset, bytes) with long texts cut at white space; a longer run without any stays whole."""
+    for i, text in enumerate(texts):
+        lo = 0
+        while len(text) - lo > PIECE:
+            cut = _SPACE.search(text, lo + PIECE)
+            hi = cut.start() if cut else len(text)
+            yield i, lo, text[lo:hi]
+            lo = hi
+        yield i, lo, text[lo:] if lo else text
+
+
 def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text number, word hash, start byte in its text, end byte) of every word, A-Z lower-cased."""
+    if sum(map(len, texts)) <= PIECE:
+        return _words_of(texts)
+    out, held, size = [], [], 0
+
+    def drain():
+        owner, word, start, end = _words_of([t for _, _, t in held])
+        number, offset = (np.array([h[k] for h in held], np.int64) for k in (0, 1))
+        out.append((number[owner], word, start + offset[owner], end + offset[owner]))
+
+    for piece in _pieces(texts):
+        if held and size + len(piece[2]) > PIECE:
+            drain()
+            held, size = [], 0
+        held.append(piece)
+        size += len(piece[2])
+    drain()
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     data = _FOLD[np.frombuffer(b" " + b" ".join(texts) + b" ", np.uint8)]
     gap = _GAP[data]
     start = np.flatnonzero(gap[:-1] & ~gap[1:]) + 1
@@ -88,19 +127,28 @@ def hash_windows(words: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     return mix((total[at + n] - total[at]) * powers(_INVERSE, len(words) + 1)[at])
 
 
-def sets_of(texts: list[bytes], group: int = 64) -> list[np.ndarray]:
-    """For each text its distinct shingles, ascending (63-bit hashes)."""
+def _sets_of(part: list[bytes]) -> list[np.ndarray]:
+    owner, words, _, _ = words_of(part)
+    who, h, _ = shingles(owner, words)
+    h = h >> np.uint64(1)
+    order = np.lexsort((h, who))
+    who, h = who[order], h[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (who[1:] != who[:-1])
+    who, h = who[new], h[new]
+    cut = np.searchsorted(who, np.arange(len(part) + 1))
+    return [h[a:b] for a, b in zip(cut[:-1], cut[1:])]
+
+
+def sets_of(texts: list[bytes], most_texts: int = 64, most_bytes: int = 1 << 20) -> list[np.ndarray]:
+    """For each text its distinct shingles, ascending (63-bit hashes); so many texts or bytes are worked on at a time, or one longer text."""
     out: list[np.ndarray] = []
-    for lo in range(0, len(texts), group):
-        part = texts[lo : lo + group]
-        owner, words, _, _ = words_of(part)
-        who, h, _ = shingles(owner, words)
-        h = h >> np.uint64(1)
-        order = np.lexsort((h, who))
-        who, h = who[order], h[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (who[1:] != who[:-1])
-        who, h = who[new], h[new]
-        cut = np.searchsorted(who, np.arange(len(part) + 1))
-        out.extend(h[a:b] for a, b in zip(cut[:-1], cut[1:]))
-    return out
+    part: list[bytes] = []
+    size = 0
+    for text in texts:
+        if part and (len(part) == most_texts or size + len(text) > most_bytes):
+            out.extend(_sets_of(part))
+            part, size = [], 0
+        part.append(text)
+        size += len(text)
+    return out + (_sets_of(part) if part else [])
