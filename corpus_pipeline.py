@@ -21,8 +21,10 @@ from weaveline.llm.shared import publish, table
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are null or have no letters go; a text in no learned language stays, as identify names the nearest one."""
-    packed = docs.select("doc_id", "text", "lang", F.struct(*docs.columns).alias("row"))
-    return identify(packed, keep=("row",)).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") > 0)).select("row.*")
+    rest = [c for c in docs.columns if c != "text"]
+    packed = docs.select("doc_id", "text", "lang", F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(rest)]).alias("rest"))
+    known = identify(packed, keep=("text", "rest")).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") > 0))
+    return known.select(*["text" if c == "text" else F.col(f"rest.c{rest.index(c)}").alias(c) for c in docs.columns])
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
