@@ -7,9 +7,9 @@
    merely share a passage hold other n-grams between, so they share few keys, while similar
    sets still share most (key_prefix). Keys have a global order, those of common n-grams last;
    a prefix of it is sent, and SLACK more.
-3. Components that hold a key are tied to the first that does. A document alone in its
-   component that shares no more keys than SLACK gave has no partner and leaves, though others
-   may stay tied through it. Ties form candidate clusters; two similar documents always lie in
+3. Components that hold a key are tied to the first that does; a task tells of each component that
+   it met once, by a spanning forest. A document alone in its component that shares no more keys
+   than SLACK gave has no partner and leaves, though others may stay tied through it. Ties form candidate clusters; two similar documents always lie in
    one cluster.
 4. Round one joins one representative of each component, cluster by cluster. Round two joins
    all documents of the clusters that ties between components still apart form.
@@ -18,7 +18,9 @@
 
 Defined cases: null and empty texts have no shingles and stand alone; a text of fewer words is
 one shingle; rows that repeat a doc_id count as one node; a null doc_id links with nothing and
-has a null component_id; an empty table gives no rows.
+has a null component_id; an empty table gives no rows; a very long text is one set like any other,
+cut into words piece by piece; of equal sets the smallest doc_id stands for all; other columns,
+whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -29,17 +31,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .prefix_tree import join_block
-from .shared import publish, shuffle_width
+from .prefix_tree import Groups, join_block
+from .shared import by_bytes, publish, shuffle_width
 from .word_sets import mix, sets_of
 
-#: Kinds of rows: key and component, or two components with a key in common; component and number of keys it shares; document and component; document and number of shingles; document and equal document.
-TIE, SHARES, MEMBER, SIZE, COPY = range(5)
+#: Kinds of rows: key and component, or a component and the first of those it is tied to; document and component; document and number of shingles; document and equal document.
+TIE, MEMBER, SIZE, COPY = range(4)
 #: Hundredths of a set's keys that are sent beyond its prefix; more of them let more documents without a partner leave.
 SLACK = 3
-#: So many ties of a task are made distinct at a time.
+#: So many ties of a task are held at a time.
 TIES_HELD = 1 << 20
+#: Shuffle partitions for each task that ties keys: a component is told of once a task, so that fewer tasks send less.
+WIDE = 4
 ROW = "kind int, key long, value long"
+#: What leaves step 3; n: keys that a tied component shares.
+MET = f"{ROW}, n long"
 TOP = np.uint64(1) << np.uint64(63)
 _THIS, _NEXT = np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0xABC98388FB8FAC03)
 
@@ -86,10 +92,10 @@ def _rows(kind, key, value) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(np.asarray(key).astype(np.int64)), pa.array(np.asarray(value).astype(np.int64))], ["kind", "key", "value"])
 
 
-def _slices(batches, most_bytes: int = 12 << 20):
+def _slices(batches, most_bytes: int = 8 << 20):
     """(ids, texts) of bounded total size."""
     ids, texts, held = [], [], 0
-    for batch in batches:
+    for batch in (part for whole in batches for part in by_bytes(whole, 1, most_bytes)):
         for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             ids.append(i)
             texts.append(t or b"")
@@ -150,6 +156,36 @@ def _local(order_of):
     return run
 
 
+class Forest:
+    """Ties between components, and how many keys each shares: a spanning forest of what a task has met."""
+
+    def __init__(self):
+        self.ties, self.shares, self.held = [np.zeros((2, 0), np.int64)], [np.zeros((2, 0), np.int64)], 0
+
+    def add(self, a: np.ndarray, b: np.ndarray, share: np.ndarray) -> None:
+        self.ties.append(np.stack([a, b]))
+        self.shares.append(np.stack([share, np.ones(len(share), np.int64)]))
+        self.held += len(a)
+
+    def settle(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(component, the smallest it is tied to in steps, keys it shares) of all that were met; held in place of the ties."""
+        a, b = np.concatenate(self.ties, axis=1)
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        new = np.ones(len(a), bool)
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        node, place = np.unique(np.concatenate([a[new], b[new]]), return_inverse=True)
+        groups = Groups(len(node))
+        for x, y in zip(*place.reshape(2, -1).tolist()):
+            groups.join(x, y)
+        root = node[[groups.find(x) for x in range(len(node))]] if len(node) else node
+        who, n = np.concatenate(self.shares, axis=1)
+        count = np.zeros(len(node), np.int64)
+        np.add.at(count, np.searchsorted(node, who), n)
+        self.ties, self.shares, self.held = [np.stack([node, root])], [np.stack([node, count])], len(node)
+        return node, root, count
+
+
 def _ties(batches):
     """mapInArrow function of step 3 over rows sorted by kind, key, value.
 
@@ -158,22 +194,21 @@ def _ties(batches):
     """
     at = low = None
     spans = False  # whether a second component holds the key `at`
-    ties, shares, held = [], [], 0
+    forest = Forest()
 
-    def flush():
-        a, b = np.concatenate(ties, axis=1)
-        pick = np.lexsort((b, a))
-        a, b = a[pick], b[pick]
-        new = np.ones(len(a), bool)
-        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        yield _rows(TIE, a[new], b[new])
-        yield _rows(SHARES, *np.unique(np.concatenate(shares), return_counts=True))
+    def rows(kind, key, value, n) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(key), pa.array(value), pa.array(n)], ["kind", "key", "value", "n"])
+
+    def tell(node, root, count):
+        for lo in range(0, len(node), 100_000):
+            part = slice(lo, lo + 100_000)
+            yield rows(np.full(len(node[part]), TIE), node[part], root[part], count[part])
 
     for batch in batches:
         kind, key, value = (c.to_numpy() for c in batch.columns)
         other = kind != TIE
         if other.any():
-            yield pa.RecordBatch.from_arrays([pa.array(kind[other]), pa.array(key[other]), pa.array(value[other])], ["kind", "key", "value"])
+            yield rows(kind[other], key[other], value[other], np.zeros(int(other.sum()), np.int64))
         key, value = key[~other], value[~other]
         if not len(key):
             continue
@@ -189,14 +224,13 @@ def _ties(batches):
         spanning[run[apart]] = True
         at, low, spans = key[-1], first[-1], bool(spanning[-1])
         if apart.any():
-            ties.append(np.stack([value[apart], first[run[apart]]]))
-            shares += [value[apart], first[spanning & ~spanned]]
-            held += len(ties[-1][0])
-        if held > TIES_HELD:
-            yield from flush()
-            ties, shares, held = [], [], 0
-    if ties:
-        yield from flush()
+            forest.add(value[apart], first[run[apart]], np.concatenate([value[apart], first[spanning & ~spanned]]))
+        if forest.held > TIES_HELD:
+            told = forest.settle()
+            if forest.held > TIES_HELD // 2:
+                yield from tell(*told)
+                forest = Forest()
+    yield from tell(*forest.settle())
 
 
 def _join_groups(batches):
@@ -244,17 +278,17 @@ def link_components(docs: DataFrame, block_bytes: int = 24 << 20, id_col: str =
     order = spark.sparkContext.broadcast(common_ngrams(rows))
     width = shuffle_width(spark)
 
-    local = rows.mapInArrow(_local(order), ROW).repartition(width, "kind", "key").sortWithinPartitions("kind", "key", "value")
-    found = publish(local.mapInArrow(_ties, ROW), "ngram-ties")
+    local = rows.mapInArrow(_local(order), ROW).repartition(max(1, width // WIDE), "kind", "key").sortWithinPartitions("kind", "key", "value")
+    found = publish(local.mapInArrow(_ties, MET), "ngram-ties")
     of = lambda kind, a, b: found.where(F.col("kind") == kind).select(F.col("key").alias(a), F.col("value").alias(b))
     member = of(MEMBER, "id", "comp")
 
     n = F.col("n")
-    shares = of(SHARES, "comp", "keys").groupBy("comp").agg(F.sum("keys").alias("keys"))
+    shares = found.where(F.col("kind") == TIE).groupBy(F.col("key").alias("comp")).agg(F.sum("n").alias("keys"))
     many = member.select("comp").distinct().withColumn("many", F.lit(True))
     held = shares.join(of(SIZE, "comp", "n").distinct(), "comp").join(many, "comp", "left")
     stays = publish(held.where(F.col("many") | (F.col("keys") > F.floor(n * SLACK / 100))).select("comp").distinct(), "ngram-stays")
-    every_tie = publish(of(TIE, "a", "b").distinct(), "ngram-distinct-ties")  # written, as Catalyst moves a semi-join below distinct
+    every_tie = publish(of(TIE, "a", "b").where("a <> b").distinct(), "ngram-distinct-ties")  # written, as Catalyst moves a semi-join below distinct
     ties = every_tie.join(stays, F.col("a") == F.col("comp"), "left_semi")
 
     def cluster(ties: DataFrame, label: str) -> DataFrame:
