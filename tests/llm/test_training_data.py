@@ -155,6 +155,51 @@ def test_html(spark):
     assert sorted(r.n_chars for r in got) == [0, 0, 28]
 
 
+def test_html_tree():
+    from weaveline.llm import html_text, html_training
+
+    x, y = html_text.labelled(html_training.pages(200, seed=99))  # held out: another seed
+    tree = html_text.trained()
+    got = tree.predict(x) >= 0.5
+    right = x[:, 0] * (got & (y == 1))
+    f1 = 2 * right.sum() / ((x[:, 0] * got).sum() + (x[:, 0] * y).sum())
+    bare = x[:, 6] == 0.5
+    right_bare = 2 * (right[bare]).sum() / ((x[:, 0] * got)[bare].sum() + (x[:, 0] * y)[bare].sum())
+    splits = collections.Counter(tree.splits())
+    print(f1, right_bare, splits)
+    text = sum(n for k, n in splits.items() if k.startswith(("words", "links")))
+    assert f1 > 0.98 and right_bare > 0.95
+    assert text > sum(splits.values()) / 2 and any(splits[k] for k in ("words_before", "links_before")) and any(splits[k] for k in ("words_behind", "links_behind"))
+
+
+def test_html_names_do_not_decide():
+    body = "<p>The council agreed on Monday to repair the old bridge over the river.</p><p>Nobody objected.</p><p>Work will begin in spring and last until autumn, said the mayor.</p>"
+    want = "The council agreed on Monday to repair the old bridge over the river. Nobody objected. Work will begin in spring and last until autumn, said the mayor."
+    for tag, name in (("article", "post social-policy"), ("article", "comment"), ("main", "sidebar")):
+        assert main_text(f"<nav><a href=x>home</a></nav><{tag} class='{name}'>{body}</{tag}><footer>all rights</footer>") == want
+    assert main_text(f"<nav><ul><li><a href=x>home</a><li><a href=y>away</a></ul></nav><article><div class='article-related-law'>{body}</div></article><footer>all rights</footer>") == want
+
+
+def article_of(page):
+    """The article of a page of the tables' shape, by its markup."""
+    import html
+    import re
+
+    inner = re.search(r"<article>(.*?)</article>", page, re.S)[1]
+    return " ".join(" ".join(html.unescape(re.sub(r"</?b>", "", re.sub(r"<br>", " ", x))).split()) for x in re.split(r"</?(?:p|h1)>", inner) if x.strip())
+
+
+def test_html_of_the_tables(spark):
+    import os
+
+    if not os.path.isdir("/root/testdata/sf0.01"):
+        pytest.skip("no test tables")
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    want = {r.page_id: article_of(r.html) for r in pages.collect()}
+    assert {r.page_id: r.text for r in extract_pages(pages).collect()} == want
+    assert extract_pages(pages.limit(0).withColumn("text", F.lit(1)).withColumn("id", F.lit(2))).count() == 0
+
+
 def test_language(spark):
     words = {"en": "the and of that with for this ing", "fr": "le la les des que pour est une", "de": "der die und das ist nicht ein schon"}
     rng = random.Random(3)

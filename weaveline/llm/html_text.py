@@ -1,13 +1,15 @@
 """HTML extraction: flat text blocks classified by a decision tree.
 
 A page is cut into flat blocks at block-level tags. Each block has its word count and link
-density, those of the blocks before and behind it, and marks of the markup around it (inside
-an article, inside navigation or the like, a telling class name, heading, list item). A CART
-tree grown on the labelled table in html_training.py tells main text from the rest.
+density, those of the blocks before and behind it, and marks of the elements around it: where
+the page's article or main element is, if it has one (place: 1 inside, 0 outside, 0.5 on pages
+without one), navigation and the like, heading, list item. Names of classes are not looked at.
+A CART tree grown on the labelled table in html_training.py tells main text from the rest.
 
 Defined cases: null or empty html gives the empty text and 0 characters; a page whose blocks
 are all classified as boilerplate gives the empty text; unclosed and stray tags are tolerated;
-repeated rows are extracted one by one; nothing is capped.
+repeated rows are extracted one by one; an empty table gives no rows; very long pages are read
+whole and nothing is capped; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import by_bytes
+
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
 #: Elements without readable text, elements inside a line of text, and containers.
 SILENT = set("script style noscript template svg iframe head title textarea select button object canvas math".split())
@@ -28,27 +32,17 @@ INLINE = set("a abbr b bdi bdo big br cite code data del dfn em font i img ins k
 CONTAINERS = set("div section article main nav header footer aside form ul ol dl table figure dialog details fieldset menu body".split())
 VOID = set("br hr img input link meta wbr area base col embed source track param".split())
 APART = set("nav footer aside form dialog menu fieldset".split())
-HINTS = set("""ad ads advert adverts advertisement sponsor sponsored promo promotion banner cookie cookies consent gdpr notice
-alert warning popup modal overlay sidebar side rail widget menu navbar navigation nav breadcrumb breadcrumbs toolbar topbar masthead header
-footer foot copyright legal comment comments reply replies discussion respond share sharing social related recommended
-recommendations newsletter subscribe signup login search pagination pager tags hidden skip disclaimer""".split())
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
-FEATURES = ["words", "links", "words_before", "links_before", "words_behind", "links_behind", "in_article", "apart", "hint", "heading", "item"]
-
-
-def _hinted(attributes: str) -> bool:
-    for value in re.findall(r"(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", attributes, re.I):
-        if HINTS & set(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower().replace("_", " ").replace("-", " ").strip("\"' ").split()):
-            return True
-    return bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*.?true|display\s*:\s*none", attributes, re.I))
+FEATURES = ["words", "links", "words_before", "links_before", "words_behind", "links_behind", "place", "apart", "heading", "item"]
+HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*.?true|display\s*:\s*none", re.I)
 
 
 def blocks(page: str) -> list[tuple[str, list[float]]]:
-    """(text, own features: words, link density, in_article, apart, hint, heading, item) in page order."""
+    """(text, own features: words, link density, place, apart, heading, item) in page order."""
     out: list[tuple[str, list[float]]] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # container, article, apart, hint
+    stack: list[tuple[str, bool, bool]] = []  # container, article, apart
     text: list[str] = []
-    linked, in_link, silent, leaf, leaf_hint, at = 0, 0, "", "", False, 0
+    linked, in_link, silent, leaf, unseen, at = 0, 0, "", "", False, 0
 
     def flush() -> None:
         nonlocal linked
@@ -56,8 +50,8 @@ def blocks(page: str) -> list[tuple[str, list[float]]]:
             words = " ".join(entities.unescape("".join(text)).split())
             text.clear()
             if words:
-                article, apart, hint = stack[-1][1:] if stack else (False, False, False)
-                out.append((words, [words.count(" ") + 1, min(1.0, linked / len(words)), article, apart, hint or leaf_hint, leaf in HEADINGS, leaf in ("li", "dt", "dd", "option", "td", "th")]))
+                article, apart = stack[-1][1:] if stack else (False, False)
+                out.append((words, [words.count(" ") + 1, min(1.0, linked / len(words)), article, apart or unseen, leaf in HEADINGS, leaf in ("li", "dt", "dd", "option", "td", "th")]))
         linked = 0
 
     def say(piece: str) -> None:
@@ -98,29 +92,32 @@ def blocks(page: str) -> list[tuple[str, list[float]]]:
         if name in VOID:
             continue
         if name in CONTAINERS:
-            leaf, leaf_hint = "", False
+            leaf, unseen = "", False
             if close:
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] == name:
                         del stack[k:]
                         break
             elif not attributes.endswith("/"):
-                article, apart, hint = stack[-1][1:] if stack else (False, False, False)
+                article, apart = stack[-1][1:] if stack else (False, False)
                 header = name == "header" and not article
-                stack.append((name, article or name in ("article", "main"), apart or name in APART or header, hint or (name != "body" and _hinted(attributes))))
+                stack.append((name, article or name in ("article", "main"), apart or name in APART or header or bool(HIDDEN.search(attributes))))
         elif close:
-            leaf, leaf_hint = "", False
+            leaf, unseen = "", False
         else:
-            leaf, leaf_hint = name, _hinted(attributes)
+            leaf, unseen = name, bool(HIDDEN.search(attributes))
     say(page[at:])
     flush()
+    if not any(own[2] for _, own in out):
+        for _, own in out:
+            own[2] = 0.5
     return out
 
 
 def features(found: list[tuple[str, list[float]]]) -> np.ndarray:
     """One row of FEATURES for each block."""
     x = np.zeros((len(found), len(FEATURES)))
-    own = np.array([f for _, f in found], float).reshape(-1, 7)
+    own = np.array([f for _, f in found], float).reshape(-1, 6)
     x[:, :2] = own[:, :2]
     x[1:, 2:4] = own[:-1, :2]
     x[:-1, 4:6] = own[1:, :2]
@@ -129,9 +126,9 @@ def features(found: list[tuple[str, list[float]]]) -> np.ndarray:
 
 
 class Tree:
-    """CART with Gini impurity, grown until leaves are pure or as small as min_leaf."""
+    """CART with Gini impurity, grown until leaves are pure or as small as min_leaf; at most `cuts` thresholds of a feature are tried at a node."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 8, min_leaf: int = 1):
+    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 12, min_leaf: int = 2, cuts: int = 40):
         self.value = float(y.mean()) if len(y) else 0.0
         self.column = -1
         if depth == 0 or len(y) < 2 * min_leaf or y.min() == y.max():
@@ -139,6 +136,8 @@ class Tree:
         best = (np.inf, -1, 0.0)
         for column in range(x.shape[1]):
             values = np.unique(x[:, column])
+            if len(values) > cuts + 1:
+                values = np.unique(np.quantile(x[:, column], np.linspace(0, 1, cuts + 1), method="nearest"))
             for cut in (values[1:] + values[:-1]) / 2:
                 left = x[:, column] <= cut
                 n, m = left.sum(), (~left).sum()
@@ -148,7 +147,11 @@ class Tree:
         if best[1] >= 0 and best[0] < len(y) * self.value * (1 - self.value) - 1e-9:
             self.column, self.cut = best[1:]
             left = x[:, self.column] <= self.cut
-            self.low, self.high = Tree(x[left], y[left], depth - 1, min_leaf), Tree(x[~left], y[~left], depth - 1, min_leaf)
+            self.low, self.high = (Tree(x[side], y[side], depth - 1, min_leaf, cuts) for side in (left, ~left))
+
+    def splits(self) -> list[str]:
+        """The features of all inner nodes."""
+        return [FEATURES[self.column], *self.low.splits(), *self.high.splits()] if self.column >= 0 else []
 
     def predict(self, x: np.ndarray) -> np.ndarray:
         if self.column < 0:
@@ -158,20 +161,25 @@ class Tree:
         return out
 
 
-@functools.lru_cache(maxsize=1)
-def trained() -> Tree:
-    """The tree grown on the labelled table; the same on every executor."""
-    from .html_training import PAGES
-
+def labelled(pages: list) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of the blocks of labelled pages."""
     xs, ys = [], []
-    for page in PAGES:
+    for page in pages:
         found = blocks("".join(before + text + after for before, text, after, _ in page))
         labels = [label for _, text, _, label in page if text]
         if len(found) != len(labels):
             raise ValueError("a labelled page does not give a block for each label")
         xs.append(features(found))
         ys.append(labels)
-    return Tree(np.concatenate(xs), np.concatenate(ys).astype(float))
+    return np.concatenate(xs), np.concatenate(ys).astype(float)
+
+
+@functools.lru_cache(maxsize=1)
+def trained() -> Tree:
+    """The tree grown on the labelled table."""
+    from .html_training import pages
+
+    return Tree(*labelled(pages()))
 
 
 def main_text(page: str | None, tree: Tree | None = None) -> str:
@@ -184,11 +192,12 @@ def main_text(page: str | None, tree: Tree | None = None) -> str:
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """id, url, text, n_chars for every row."""
+    """id, url, text, n_chars for every row; the tree is grown by the driver and goes to the tasks with the function."""
+    tree = trained()
 
     def run(batches):
-        for batch in batches:
-            texts = [main_text(h) for h in batch.column(2).to_pylist()]
+        for batch in (part for whole in batches for part in by_bytes(whole, 2, 4 << 20)):
+            texts = [main_text(h, tree) for h in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["id", "u", "text", "n_chars"])
 
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("u"), F.col(html_col).cast("string").alias("h")).mapInArrow(run, "id long, u string, text string, n_chars long")
