@@ -434,9 +434,12 @@ def test_alignment():
 
 
 def test_chain():
-    tree = Fenwick(5)
-    tree.put(3, (2.0, 1))
-    assert tree.best(3)[1] == -1 and tree.best(4) == (2.0, 1)
+    rng, tree, put = random.Random(6), Fenwick(9), []
+    for time in range(200):
+        put.append((rng.randrange(9), time // 3, (rng.random(), time)))
+        tree.put(*put[-1])
+        place, since = rng.randrange(10), time // 3 - 8
+        assert tree.best(place, since) == max([v for p, t, v in put if p < place and t >= since], default=(-1e18, -1))
     line = [(k * 6, 100 + k * 6) for k in range(8)]
     found = chain([*line, (20, 900), (300, 110)])
     assert [line.index((k * 6, 100 + k * 6)) for k in range(8)] == found[0]
@@ -448,6 +451,47 @@ def test_chain_after_a_long_gap():
     assert found == [matches[:72], matches[72:]]
 
 
+def test_chains_against_all_predecessors():
+    from weaveline.llm.chain_dedup import GAP_COST, MAX_GAP, chain_runs
+
+    rng = random.Random(9)
+    for _ in range(300):
+        runs = []
+        for _ in range(rng.randrange(1, 12)):
+            x, y, n = rng.randrange(120), rng.randrange(120), rng.randrange(12)
+            runs.append((x, y, x + n, y + n, 5.0 + n))
+        best: dict[int, float] = {}
+
+        def total(i):
+            if i not in best:
+                x, y = runs[i][:2]
+                before = [total(j) - GAP_COST * (x - u + y - v) / 2 for j, (_, _, u, v, _) in enumerate(runs) if 0 < x - u <= MAX_GAP and 0 < y - v <= MAX_GAP]
+                best[i] = runs[i][4] + max([0.0, *before])
+            return best[i]
+
+        found = chain_runs(runs)
+        gained = sum(runs[i][4] for i in found[0]) - sum(GAP_COST * (runs[j][0] - runs[i][2] + runs[j][1] - runs[i][3]) / 2 for i, j in zip(found[0], found[0][1:]))
+        assert gained == pytest.approx(max(map(total, range(len(runs))))) and sorted(sum(found, [])) == list(range(len(runs)))
+
+
+def test_passages_do_not_depend_on_partitions(spark, docs):
+    got = [sorted(map(repr, fuzzy_passages(docs.repartition(n)).collect())) for n in (1, 8, 40)]
+    assert got[0] and got[0] == got[1] == got[2]
+
+
+def test_recall_of_fuzzy_passages(spark):
+    rng = random.Random(12)
+    rows = []
+    for k in range(120):
+        p = prose(rng.randint(60, 200), rng).split()
+        other = list(p)
+        for at in rng.sample(range(len(p)), len(p) * 15 // 100):
+            other[at] = "y" + rng.choice(VOCAB)
+        rows += [(2 * k, " ".join([prose(30, rng), *p, prose(30, rng)])), (2 * k + 1, " ".join([prose(50, rng), *other, prose(20, rng)]))]
+    got = {r.doc_id for r in fuzzy_passages(spark.createDataFrame([(i, t, None, None, None) for i, t in rows], DOCS)).collect()}
+    assert not any(i % 2 == 0 for i in got) and len(got) >= 0.9 * 120
+
+
 def test_every_passage_of_an_alignment():
     new = iter(range(1000, 10000))
 
