@@ -368,6 +368,20 @@ def test_repeats(spark, docs):
     assert remove_repeats(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_repeats_but_the_first(spark, docs):
+    seen, want = set(), {}
+    for i, t, *_ in sorted(ROWS):
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        for s in range(len(b) - 399):
+            if b[s : s + 400] in seen:
+                gone[s : s + 400] = b"\1" * 400
+            seen.add(b[s : s + 400])
+        want[i] = bytes(x for x, g in zip(b, gone) if not g)
+    got = {r.doc_id: bytes(r.kept) for r in remove_repeats(docs, keep_first=True, with_text=True).collect()}
+    assert got == want and sum(map(len, want.values())) < sum(len((t or "").encode()) for _, t, *_ in ROWS)
+
+
 def test_repeated_windows():
     strings = [bytes(RNG.choice(b"ab") for _ in range(60)) for _ in range(6)]
     strings.append(strings[0][5:40] + b"zz" + strings[1][:30])
@@ -393,6 +407,33 @@ def test_decontamination(spark, docs):
     assert contaminated(frame, spark.createDataFrame(items[2:4], "item_id long, text string")).count() == 0
 
 
+def test_decontamination_against_all_windows(spark):
+    """Items of 5 to 40 words, edited to about the threshold, against the similarity of every window."""
+    rng = random.Random(21)
+    items = [(k, prose(rng.randint(5, 40), rng)) for k in range(60)]
+    rows = []
+    for k, item in items:
+        for edits in (0, 1, 1, 2):
+            rows.append((len(rows), f"{prose(rng.randint(0, 20), rng)} {edited(item, edits, rng)} {prose(rng.randint(0, 20), rng)}".strip()))
+
+    def weights(w):
+        return collections.Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else collections.Counter([tuple(w)])
+
+    want = set()
+    for i, t in rows:
+        w = t.lower().split()
+        for k, item in items:
+            b = item.lower().split()
+            for at in range(len(w) - len(b) + 1):
+                x, y = weights(w[at : at + len(b)]), weights(b)
+                if 5 * sum((x & y).values()) >= 4 * sum((x | y).values()):
+                    want.add((i, k))
+    frame = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], DOCS).withColumn("item", F.lit(1)).withColumn("m", F.lit(2))
+    got = {(r.doc_id, r.item_id) for r in contaminated(frame, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert len(want) > 60 and got == want
+    assert contaminated(frame.limit(0), spark.createDataFrame(items, "item_id long, text string")).count() == 0
+
+
 def test_decontamination_of_short_items(spark):
     items = [(k, " ".join(f"q{k}{i}" for i in range(k))) for k in (1, 2, 3, 4)]
     rows = [(k, f"{prose(20)} {item.upper()} {prose(7)}") for k, item in items] + [(5, f"{items[2][1]} x"), (6, "q40 q41 q43 q42 y"), (7, f"{items[1][1]} {prose(5)} {items[1][1]}"), (8, items[3][1])]

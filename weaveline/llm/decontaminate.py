@@ -1,18 +1,24 @@
 """Benchmark decontamination with DataFrame functions only.
 
 Windows of an item's size are laid over a document wherever one of its 5-word shingles also is
-in an item, aligned on that shingle, and wherever it has the words of an item under five words. Each window and item has a 64-bit SimHash of its shingles,
-weighted by how often they occur. Windows meet items of their size in multi-index Hamming
+in an item, aligned on that shingle, and wherever it has the words of an item under five words.
+A window carries the items whose shingles laid it. Each window and item has a 64-bit SimHash of its
+shingles, weighted by how often they occur. Windows meet their items in multi-index Hamming
 blocks: RADIUS + 1 blocks of bits, of which two fingerprints within RADIUS share at least one
 unchanged. Candidates within RADIUS are verified by exact weighted-shingle similarity, the sum
 of the smaller weights over the sum of the larger ones, at least THRESHOLD.
 
-At THRESHOLD 0.8 the expected distance of 64-bit fingerprints is below 10 bits with a standard
-deviation below 3, so that RADIUS 19 lies more than three deviations out.
+A window is as long as its item, so that similarity 0.8 means eight ninths of their shingles in
+common: a distance of 64-bit fingerprints of 9.7 bits on average with a deviation below 3. RADIUS 24
+lies five deviations out; under nine shingles only equal texts are that similar. As a window meets
+the items that laid it and no others, the pairs grow with the shared shingles and not with the
+square of the benchmark, however short the blocks are.
 
 Defined cases: null and empty texts, on either side, match nothing; a text of fewer than five
 words is one shingle; items with the same words are one item, named by the smallest id; a
-document with a null id keeps its rows under null; repeated rows give one result row.
+document with a null id keeps its rows under null; repeated rows give one result row; of equally
+similar windows the first is reported; empty tables, on either side, give no rows; very long texts
+are read whole; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -23,7 +29,7 @@ from pyspark.sql import functions as F
 from .shared import publish
 
 WORDS = 5
-RADIUS = 19
+RADIUS = 24
 THRESHOLD = 0.8
 GAPS = " \t\n\x0b\f\r"
 
@@ -67,13 +73,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     """id, item, start_word, n_words, hamming, similarity, n_windows: the best window of each document and item.
 
     The items' distinct shingles are broadcast only when counted to be at most broadcast_rows
-    (20 bytes each); beyond, both sides are shuffled on the shingle.
+    (40 bytes each); beyond, both sides are shuffled on the shingle.
     """
     items = benchmark.select(F.col(item_col).alias("item"), words(F.col(item_text_col)).alias("w")).where(F.size("w") > 0)
     items = items.groupBy("w").agg(F.min("item").alias("item")).select("item", F.size("w").alias("m"), shingle_hashes(F.col("w")).alias("item_hashes"))
     items = publish(items.withColumn("item_print", simhash(F.col("item_hashes"))), "bench-items")
-    seeds = publish(items.select("m", F.posexplode("item_hashes").alias("offset", "h")).distinct(), "bench-seeds")
-    if seeds.count() <= broadcast_rows:
+    seeds = publish(items.select("item", "m", F.posexplode("item_hashes").alias("offset", "h")).groupBy("m", "offset", "h").agg(F.collect_set("item").alias("items")), "bench-seeds")
+    if (seeds.agg(F.sum(F.size("items") + 1)).first()[0] or 0) <= broadcast_rows:
         seeds = F.broadcast(seeds)
 
     rows = docs.select(F.col(id_col).alias("doc"), words(F.col(text_col)).alias("w")).where(F.size("w") > 0)
@@ -82,15 +88,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
         places = places.union(rows.where(F.size("w") > m).select("doc", "w", F.posexplode(run_hashes(F.col("w"), m)).alias("pos", "h")))
     placed = places.join(seeds, "h")
     start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("offset"), F.size("w") - F.col("m")))
-    windows = placed.select("doc", "m", start.alias("start"), F.slice("w", start + 1, F.col("m")).alias("ww")).groupBy("doc", "m", "start").agg(F.max("ww").alias("ww"))
-    windows = windows.select("doc", "m", "start", shingle_hashes(F.col("ww")).alias("hashes"))
-    windows = windows.select("doc", "m", "start", "hashes", simhash(F.col("hashes")).alias("print"))
+    placed = placed.select("doc", "m", start.alias("start"), "items", F.slice("w", start + 1, F.col("m")).alias("ww"))
+    windows = placed.groupBy("doc", "m", "start").agg(F.max("ww").alias("ww"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
+    windows = windows.select("doc", "m", "start", "items", shingle_hashes(F.col("ww")).alias("hashes"))
+    windows = windows.select("doc", "m", "start", "hashes", simhash(F.col("hashes")).alias("print"), F.explode("items").alias("item"))
 
     left = windows.withColumn("b", F.explode(blocks(F.col("print")))).select("*", "b.block", "b.bits").drop("b")
     right = items.withColumn("b", F.explode(blocks(F.col("item_print")))).select("*", "b.block", "b.bits").drop("b")
     if items.count() * (RADIUS + 1) * 64 <= broadcast_rows:
         right = F.broadcast(right)
-    near = left.join(right, ["m", "block", "bits"]).withColumn("hamming", F.bit_count(F.col("print").bitwiseXOR(F.col("item_print")))).where(F.col("hamming") <= RADIUS)
+    near = left.join(right.drop("m"), ["item", "block", "bits"]).withColumn("hamming", F.bit_count(F.col("print").bitwiseXOR(F.col("item_print")))).where(F.col("hamming") <= RADIUS)
     # A pair meets in several blocks; it counts in the first of them.
     differs = F.col("print").bitwiseXOR(F.col("item_print"))
     first = F.array_position(F.transform(blocks(differs), lambda x: x["bits"]), F.lit(0).cast("bigint")) - 1
