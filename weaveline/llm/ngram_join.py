@@ -270,7 +270,7 @@ def _exact(members: DataFrame, block_bytes: int) -> DataFrame:
     return rows.repartition(width, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "doc").mapInArrow(_join_groups, "a long, b long")
 
 
-def link_components(docs: DataFrame, block_bytes: int = 24 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def link_components(docs: DataFrame, block_bytes: int = 12 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id for every row."""
     spark = docs.sparkSession
     every = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t"))
