@@ -49,7 +49,7 @@ def merge_pieces(text: str, vocab: Vocabulary) -> list[str]:
 class Encoder:
     """Encodes and decodes whole texts under one vocabulary."""
 
-    def __init__(self, vocab: Vocabulary, memo_bytes: int = 240 << 20):
+    def __init__(self, vocab: Vocabulary, memo_bytes: int = 340 << 20):
         self.vocab = vocab
         #: Each piece under itself if its own characters merge to it, else False; None as long as nobody has asked.
         self.whole: dict[str, str | bool | None] = dict.fromkeys(vocab.rank)
@@ -58,8 +58,8 @@ class Encoder:
         self.pairs = Memo(lambda ab: merge_pieces(ab[0] + ab[1], vocab) == [*ab], memo_bytes // 4)
         #: Lattice columns by prefix: the surviving path's last step is a function of the prefix alone.
         self.columns = Memo(None, memo_bytes // 4, 24)
-        self.words = Memo(lambda word: self.pack(SPACE + word.decode()), memo_bytes // 4, each=220)
-        self.inner = Memo(self.ids, memo_bytes // 4, each=220)
+        self.words = Memo(lambda word: self.pack(SPACE + word.decode()), memo_bytes // 4, each=140)
+        self.inner = Memo(self.ids, memo_bytes // 4, each=140)
         self.bytes_of = [b"" if t is None and r < 0 else bytes([r]) if r >= 0 else t.encode() for t, r in zip(vocab.text, vocab.raw)]
 
     def viterbi(self, text: str) -> list[int]:

@@ -73,7 +73,7 @@ class Memo(dict):
     An entry is taken to cost `each` bytes beside those of its key and a value of bytes.
     """
 
-    def __init__(self, compute, most_bytes: int = 32 << 20, longest: int = 64, each: int = 160):
+    def __init__(self, compute, most_bytes: int = 32 << 20, longest: int = 64, each: int = 100):
         super().__init__()
         self.compute, self.half, self.longest, self.each, self.held, self.old = compute, most_bytes // 2, longest, each, 0, {}
 
