@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import FOLD, by_bytes, fold_ascii, publish, shuffle_width
+from .shared import FOLD, bound_batches, by_bytes, fold_ascii, publish, shuffle_width
 
 KEY_BITS = 60
 
@@ -193,6 +193,7 @@ def build_index(docs: DataFrame, bucket_bytes: int = 2 << 20, most_buckets: int
     directory that tasks receive has a bounded size.
     """
     spark: SparkSession = docs.sparkSession
+    bound_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     folded = fold_ascii(F.col("text"))
     key = F.conv(F.substring(F.sha2(folded.cast("binary"), 256), 1, KEY_BITS // 4), 16, 10).cast("long")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import by_bytes
+from .shared import bound_batches, by_bytes
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
 #: Elements without readable text, elements inside a line of text, and containers.
@@ -194,6 +194,7 @@ def main_text(page: str | None, tree: Tree | None = None) -> str:
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """id, url, text, n_chars for every row; the tree is grown by the driver and goes to the tasks with the function."""
     tree = trained()
+    bound_batches(pages.sparkSession)
 
     def run(batches):
         for batch in (part for whole in batches for part in by_bytes(whole, 2, 4 << 20)):

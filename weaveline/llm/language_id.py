@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import by_bytes
+from .shared import bound_batches, by_bytes
 
 UNKNOWN = "und"
 #: Bytes to symbols: A-Z as a-z 1..26, bytes from 128 up 27..154, any other byte 0 (a gap).
@@ -150,6 +150,7 @@ def identify(docs: DataFrame, per_lang: int = 300, longest: int = 20_000, landma
 
     keep: columns of docs to carry along after these. The text goes to the executors' Python once, also where it is kept.
     """
+    bound_batches(docs.sparkSession)
     texts, labels = sample(docs, per_lang, longest, id_col, text_col, lang_col)
     fitted = Kernel.fit(texts, labels, landmarks)
     used = np.flatnonzero(fitted.column < len(fitted.weights)) if len(fitted.langs) else np.zeros(0, np.int64)

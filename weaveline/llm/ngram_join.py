@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .prefix_tree import Groups, join_block
-from .shared import by_bytes, publish, shuffle_width
+from .shared import bound_batches, by_bytes, publish, shuffle_width
 from .word_sets import mix, sets_of
 
 #: Kinds of rows: key and component, or a component and the first of those it is tied to; document and component; document and number of shingles; document and equal document.
@@ -273,6 +273,7 @@ def _exact(members: DataFrame, block_bytes: int) -> DataFrame:
 def link_components(docs: DataFrame, block_bytes: int = 12 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id for every row."""
     spark = docs.sparkSession
+    bound_batches(spark)
     every = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t"))
     rows = every.where("id is not null")
     order = spark.sparkContext.broadcast(common_ngrams(rows))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .piece_model import SPACE, Memo, Vocabulary, chunks, vocabulary
-from .shared import by_bytes
+from .shared import bound_batches, by_bytes
 
 
 def merge_pieces(text: str, vocab: Vocabulary) -> list[str]:
@@ -149,6 +149,7 @@ def encode_documents(docs: DataFrame, model: bytes, id_col: str = "doc_id", text
     round_trip tells whether the decoded text equals the given one; it fails only where the text
     itself holds the model's space mark, which decodes to a space.
     """
+    bound_batches(docs.sparkSession)
     blob = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -175,6 +176,7 @@ def encode_documents(docs: DataFrame, model: bytes, id_col: str = "doc_id", text
 
 def decode_documents(encoded: DataFrame, model: bytes, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """id, text for rows of identifiers; null identifiers give the empty text."""
+    bound_batches(encoded.sparkSession)
     blob = encoded.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

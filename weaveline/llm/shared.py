@@ -40,6 +40,16 @@ def publish(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Session setting that bounds the bytes of a batch which goes to Python; without it a batch has 10,000 rows, however long.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession, most: str = "8m") -> None:
+    """Bound the batches that this session sends to Python, unless it has a bound of its own."""
+    if spark.conf.get(BATCH_BYTES, None) is None:
+        spark.conf.set(BATCH_BYTES, most)
+
+
 def by_bytes(batch: pa.RecordBatch, column: int, most_bytes: int, most_rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
     """Slices of a batch that hold most_bytes of one column, or one row where that alone is larger."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import publish, shuffle_width
+from .shared import bound_batches, publish, shuffle_width
 from .word_sets import _BASE, _INVERSE, _VALUE, mix, powers
 
 LENGTH = 400
@@ -335,6 +335,7 @@ def repeated_spans(rows: DataFrame, length: int, keep_first: bool, most: int = 2
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = False, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """id, n_bytes, n_removed, n_spans, kept_sha256 for every row; with_text adds the bytes that stay."""
+    bound_batches(docs.sparkSession)
     doc = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 62)) - F.pmod(F.xxhash64(text_col), F.lit(1 << 61)))
     rows = docs.select(doc.alias("doc"), F.col(text_col).cast("binary").alias("t"))
     spans = repeated_spans(rows, length, keep_first).distinct().groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans"))

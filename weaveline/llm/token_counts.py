@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .piece_model import SPACE, Memo, Vocabulary, chunks, vocabulary
-from .shared import by_bytes
+from .shared import bound_batches, by_bytes
 
 
 def count_merged(chunk: str, vocab: Vocabulary) -> int:
@@ -73,6 +73,7 @@ class Counter:
 
 def count_tokens(docs: DataFrame, model: bytes, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_bytes, n_tokens, over_limit for every row; the model travels to the executors as one 0.5 MB broadcast."""
+    bound_batches(docs.sparkSession)
     blob = docs.sparkSession.sparkContext.broadcast(model)
 
     def count(batches):
