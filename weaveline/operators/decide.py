@@ -31,15 +31,18 @@ def expected_f(scored: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return run.where((F.col("k") <= F.col("upto")) & (F.col("best") > F.col("none"))).select(*by, "s1", "cand")
 
 
+def _f05(tp: Column, found: Column, true: Column) -> Column:
+    p, r = tp / F.greatest(found, F.lit(1)), tp / F.greatest(true, F.lit(1))
+    return F.when((found == 0) & (true == 0), 1.0).when(tp == 0, 0.0).otherwise(1.25 * p * r / F.greatest(0.25 * p + r, F.lit(1e-12)))
+
+
 def f05(pred: DataFrame, truth: DataFrame, ids: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """F0.5 of every S1 in ids (with the columns of `by`); 1 where there is nothing to find and nothing found."""
     key = [*by, "s1"]
     hits = pred.join(truth, ["s1", "cand"]).groupBy(*key).agg(F.count("*").alias("tp"))
     np_, nt = pred.groupBy(*key).agg(F.count("*").alias("np")), truth.groupBy("s1").agg(F.count("*").alias("nt"))
     out = ids.join(hits, key, "left").join(np_, key, "left").join(nt, "s1", "left").na.fill(0, ["tp", "np", "nt"])
-    p, r = F.col("tp") / F.greatest("np", F.lit(1)), F.col("tp") / F.greatest("nt", F.lit(1))
-    score = F.when((F.col("np") == 0) & (F.col("nt") == 0), 1.0).when(F.col("tp") == 0, 0.0).otherwise(1.25 * p * r / F.greatest(0.25 * p + r, F.lit(1e-12)))
-    return out.select(*ids.columns, "tp", "np", "nt", score.alias("f"))
+    return out.select(*ids.columns, "tp", "np", "nt", _f05(F.col("tp"), F.col("np"), F.col("nt")).alias("f"))
 
 
 def report(scores: DataFrame, country: str = "country") -> DataFrame:
@@ -49,12 +52,34 @@ def report(scores: DataFrame, country: str = "country") -> DataFrame:
 
 
 def tune(scored: DataFrame, truth: DataFrame, ids: DataFrame, grid: list[tuple[float, float]]) -> DataFrame:
-    """Macro F of each (a, b) of the grid, all in one job: rows (a, b, f)."""
-    spark = scored.sparkSession
-    params = F.broadcast(spark.createDataFrame(grid, "a double, b double"))
-    spread = scored.crossJoin(params).withColumn("p", calibrate(F.col("p"), F.col("a"), F.col("b")))
-    chosen = expected_f(spread, ("a", "b"))
-    return f05(chosen, truth, ids.crossJoin(params), ("a", "b")).groupBy("a", "b").agg(F.avg("f").alias("f"))
+    """Macro F of each (a, b) of the grid, all in one job: rows (a, b, f).
+
+    A calibration with a > 0 keeps the order of the scores, so owners are found and candidates ranked once. The grid is
+    spread over the S1s, each with its ranked scores, and needs no shuffle but the last one's partial means.
+    """
+    if any(a <= 0 for a, _ in grid):
+        raise ValueError("a calibration that turns the order of scores is not tuned")
+    own = one_owner(scored.withColumn("p", _clip("p"))).join(truth.select("s1", "cand", F.lit(1).alias("hit")), ["s1", "cand"], "left")
+    ranked = own.groupBy("s1").agg(F.sort_array(F.collect_list(F.struct((-F.col("p")).alias("back"), "cand", F.coalesce("hit", F.lit(0)).alias("hit")))).alias("ranked"))
+    nt = truth.groupBy("s1").agg(F.count("*").alias("nt"))
+    rows = ids.join(ranked, "s1", "left").join(nt, "s1", "left")
+    points = F.array(*[F.struct(F.lit(float(a)).alias("a"), F.lit(float(b)).alias("b")) for a, b in grid])
+    rows = rows.select(F.coalesce("nt", F.lit(0)).alias("nt"), F.coalesce("ranked", F.expr("CAST(array() AS array<struct<back: double, cand: bigint, hit: int>>)")).alias("ranked"), F.explode(points).alias("at"))
+    rows = rows.select("nt", "at.a", "at.b", "ranked", F.transform("ranked", lambda x: calibrate(-x["back"], F.col("at.a"), F.col("at.b"))).alias("q"))
+    total = F.aggregate("q", F.lit(0.0), lambda s, x: s + x)
+    none = F.exp(F.aggregate("q", F.lit(0.0), lambda s, x: s + F.log1p(-x)))
+    rows = rows.withColumn("total", total).withColumn("none", none)
+
+    def step(s: Column, i: Column) -> Column:
+        k, cum, tp = i + 1, s["cum"] + F.get("q", i), s["tp"] + F.get("ranked", i)["hit"]
+        ef = 1.25 * cum / (0.25 * F.col("total") + k)
+        return F.when(ef > s["best"], F.struct(cum.alias("cum"), tp.alias("tp"), ef.alias("best"), k.alias("np"), tp.alias("hits"))).otherwise(F.struct(cum.alias("cum"), tp.alias("tp"), s["best"].alias("best"), s["np"].alias("np"), s["hits"].alias("hits")))
+
+    start = F.struct(F.lit(0.0).alias("cum"), F.lit(0).alias("tp"), F.lit(-1.0).alias("best"), F.lit(0).alias("np"), F.lit(0).alias("hits"))
+    rows = rows.select("a", "b", "nt", "none", F.when(F.size("q") > 0, F.aggregate(F.sequence(F.lit(0), F.size("q") - 1), start, step)).otherwise(start).alias("s"))
+    takes = F.col("s.best") > F.col("none")
+    rows = rows.select("a", "b", "nt", F.when(takes, F.col("s.np")).otherwise(0).alias("np"), F.when(takes, F.col("s.hits")).otherwise(0).alias("tp"))
+    return rows.groupBy("a", "b").agg(F.avg(_f05(F.col("tp"), F.col("np"), F.col("nt"))).alias("f"))
 
 
 def ensemble(models: DataFrame) -> DataFrame:

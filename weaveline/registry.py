@@ -602,12 +602,11 @@ def uncertainty_share(spark, d):
 def expected_f_draws(spark, d):
     """Monte-Carlo expected F0.5 by country: truths drawn from the scores, seeded by hashes of pair and draw."""
     sp, _, ids = _scored(spark, d)
-    draws = F.explode(F.sequence(F.lit(1), F.lit(5))).alias("b")
     u = F.pmod(F.xxhash64("s1", "cand", "b"), F.lit(1 << 30)) / float(1 << 30)
-    out = None
+    out, chosen_ = None, D.expected_f(sp)
     for b in range(1, 6):
         truth = sp.select("s1", "cand", "p", F.lit(b).alias("b")).where(u < F.col("p")).select("s1", "cand")
-        row = D.f05(D.expected_f(sp), truth, ids).groupBy("country").agg(F.avg("f").alias("f"))
+        row = D.f05(chosen_, truth, ids).groupBy("country").agg(F.avg("f").alias("f"))
         out = row if out is None else out.union(row)
     return out.groupBy("country").agg(F.round(F.avg("f"), 6).alias("f"))
 
