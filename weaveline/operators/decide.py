@@ -82,6 +82,26 @@ def tune(scored: DataFrame, truth: DataFrame, ids: DataFrame, grid: list[tuple[f
     return rows.groupBy("a", "b").agg(F.avg(_f05(F.col("tp"), F.col("np"), F.col("nt"))).alias("f"))
 
 
+def tune_thresholds(scored: DataFrame, truth: DataFrame, ids: DataFrame, grid: list[float]) -> DataFrame:
+    """Macro F of each threshold of the grid, all in one job: rows (thr, f). Owners are found once; an S1 carries its scores."""
+    own = one_owner(scored).join(truth.select("s1", "cand", F.lit(1).alias("hit")), ["s1", "cand"], "left")
+    lists = own.groupBy("s1").agg(F.collect_list("p").alias("ps"), F.collect_list(F.when(F.col("hit") == 1, F.col("p"))).alias("hits"))
+    rows = ids.join(lists, "s1", "left").join(truth.groupBy("s1").agg(F.count("*").alias("nt")), "s1", "left")
+    rows = rows.select("ps", "hits", F.coalesce("nt", F.lit(0)).alias("nt"), F.explode(F.array(*map(F.lit, grid))).alias("thr"))
+    at_least = lambda c: F.coalesce(F.size(F.filter(c, lambda p: p >= F.col("thr"))), F.lit(0))
+    rows = rows.select("thr", "nt", F.when(F.col("ps").isNotNull(), at_least("ps")).otherwise(0).alias("np"), F.when(F.col("hits").isNotNull(), at_least("hits")).otherwise(0).alias("tp"))
+    return rows.groupBy("thr").agg(F.avg(_f05(F.col("tp"), F.col("np"), F.col("nt"))).alias("f"))
+
+
+def errors(pred: DataFrame, truth: DataFrame, scored: DataFrame, rec: DataFrame, most: int = 500) -> DataFrame:
+    """The report of errors: the first `most` of each kind with score and both sides' names and addresses (rec: id, nf, af)."""
+    part = lambda kind, a, b: a.join(b, ["s1", "cand"], "left_anti").orderBy("s1", "cand").limit(most).select(F.lit(kind).alias("kind"), "s1", "cand")
+    out = part("fp", pred, truth).union(part("fn", truth, pred)).join(scored.select("s1", "cand", "p"), ["s1", "cand"], "left")
+    for side in ("s1", "cand"):
+        out = out.join(rec.select(F.col("id").alias(side), F.col("nf").alias(f"{side}_name"), F.col("af").alias(f"{side}_addr")), side, "left")
+    return out.select("kind", "s1", "cand", "p", "s1_name", "s1_addr", "cand_name", "cand_addr")
+
+
 def ensemble(models: DataFrame) -> DataFrame:
     """(s1, cand, p): sigmoid of the mean logit over a pair's rows."""
     return models.groupBy("s1", "cand").agg(F.avg(F.log(_clip("p") / (1 - _clip("p")))).alias("z")).select("s1", "cand", (1 / (1 + F.exp(-F.col("z")))).alias("p"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weaveline.functions.normalize import tokens
+from weaveline.functions.normalize import lookup, non_latin, tokens
 
 
 def idf(rec: DataFrame, column: str) -> DataFrame:
@@ -102,9 +102,22 @@ def noise_table(truth_extra: DataFrame, doc_freq: DataFrame) -> DataFrame:
     return n.join(doc_freq, "token", "left").select("token", (F.col("n") / (F.coalesce("df", F.lit(0)) + 10)).alias("noise"))
 
 
-def noise_features(pairs: DataFrame, table: DataFrame) -> DataFrame:
-    """nz_min, nz_max (null without tokens) and nz_zero over a pair's extra tokens."""
-    each = pairs.select("s1", "cand", F.explode_outer("extra").alias("token")).join(table, "token", "left")
+def one_language(found: Column, table: dict[str, str]) -> Column:
+    """Tokens with those of table (generic words, legal forms) in its language."""
+    return F.transform(found, lambda t: lookup(table, t))
+
+
+def noise_features(pairs: DataFrame, table: DataFrame, language: dict[str, str] | None = None, acronym: bool = False) -> DataFrame:
+    """nz_min, nz_max (null without tokens) and nz_zero over a pair's extra tokens.
+
+    language: extra tokens are translated by it first. acronym: pairs have acro and nc_b, the candidate's core name; where
+    that is an acronym of the S1, its tokens are not looked up.
+    """
+    extra = F.col("extra")
+    if acronym:
+        extra = F.when(F.col("acro") == 1, F.array_except(extra, tokens(F.col("nc_b")))).otherwise(extra)
+    extra = one_language(extra, language) if language else extra
+    each = pairs.select("s1", "cand", F.explode_outer(extra).alias("token")).join(table, "token", "left")
     value = F.when(F.col("token").isNotNull(), F.coalesce("noise", F.lit(0.0)))
     return each.groupBy("s1", "cand").agg(F.min(value).alias("nz_min"), F.max(value).alias("nz_max"), F.count(F.when(value == 0, 1)).alias("nz_zero"))
 
@@ -118,12 +131,12 @@ def acronym(candidate_core: Column, full: Column, core: Column) -> Column:
     return ((F.length(c) >= 2) & ((c == initials(full)) | (c == initials(core)))).cast("int")
 
 
-def context(pairs: DataFrame) -> DataFrame:
+def context(pairs: DataFrame, gaps: list[str] = ["n_ratio"]) -> DataFrame:
     """Group context of S1: size, rank of cos, gaps to the best, equal-number counts. One exchange on s1."""
     s1 = Window.partitionBy("s1")
     return pairs.select(
         "*", F.count("*").over(s1).alias("g_size"), F.row_number().over(s1.orderBy(F.desc("cos"), "cand")).alias("cos_rank"),
-        (F.max("n_ratio").over(s1) - F.col("n_ratio")).alias("n_ratio_gap"), F.sum((F.col("hn_rel") == 0).cast("int")).over(s1).alias("g_hn_eq"),
+        *[(F.max(c).over(s1) - F.col(c)).alias(f"{c}_gap") for c in gaps], F.sum((F.col("hn_rel") == 0).cast("int")).over(s1).alias("g_hn_eq"),
         F.coalesce(F.sum("fn_eq").over(s1), F.lit(0)).alias("g_s1fn"), F.when(F.col("fnum_c").isNotNull(), F.count("*").over(Window.partitionBy("s1", "fnum_c")) - 1).alias("g_same_fn"),
         F.when(F.col("fnum_c").isNotNull(), F.sum((F.col("frank") <= 10).cast("int")).over(Window.partitionBy("s1", "fnum_c")) - (F.col("frank") <= 10).cast("int")).alias("g_same_fn_top"),
     )
@@ -142,6 +155,15 @@ def stage_two(pairs: DataFrame) -> DataFrame:
     )
 
 
+def native_pairs(truth: DataFrame, pool: DataFrame, s1: DataFrame, column: str = "name") -> DataFrame:
+    """s1, cand, native, latin: true pairs whose candidate is written in another script, with both sides' texts.
+
+    pool and s1: id and column. The pool is cut to such candidates before the joins.
+    """
+    native = pool.where(non_latin(F.col(column))).select(F.col("id").alias("cand"), F.col(column).alias("native"))
+    return truth.join(native, "cand").join(s1.select(F.col("id").alias("s1"), F.col(column).alias("latin")), "s1").select("s1", "cand", "native", "latin")
+
+
 def alignment_votes(pairs: DataFrame, least: int = 2, share: float = 0.5) -> DataFrame:
     """Native token -> Latin token, voted by position in name pairs (native, latin: token arrays) of equal length."""
     votes = pairs.where(F.size("native") == F.size("latin")).select(F.explode(F.arrays_zip("native", "latin")).alias("z")).groupBy(F.col("z.native").alias("token"), F.col("z.latin").alias("target")).agg(F.count("*").alias("n"))

@@ -9,9 +9,11 @@ from weaveline.functions import strings as S
 from weaveline.functions import words as W
 from weaveline.operators import blocking as B
 from weaveline.operators import decide as D
+from weaveline.operators import frame as X
 from weaveline.operators import matcher as M
 from weaveline.operators import pairs as P
 from weaveline.operators import records as R
+from weaveline.plans import resolve as E
 from weaveline.plans import views as V
 
 QUERIES: dict = {}
@@ -299,9 +301,8 @@ LCS = """CAST(list_extract(list_reduce(list_prepend(list_transform(range(0, CAST
 
 @query(f"WITH {CAND}, z AS (SELECT *, {LCS.format(a='nc_a', b='nc_b')} AS l FROM cand) SELECT s1, cand, l AS lcs, round(200.0 * l / (length(nc_a) + length(nc_b)), 6) AS ratio FROM z")
 def ratio(spark, d):
-    c = V.candidates(spark, d)
-    both = F.length("nc_a") + F.length("nc_b")
-    return c.select("s1", "cand", F.round(S.score("ratio", F.col("nc_a"), F.col("nc_b")) * both / 200).cast("long").alias("lcs"), F.round(S.score("ratio", F.col("nc_a"), F.col("nc_b")), 6).alias("ratio"))
+    c = V.candidates(spark, d).withColumn("r", S.score("ratio", F.col("nc_a"), F.col("nc_b")))
+    return c.select("s1", "cand", F.round(F.col("r") * (F.length("nc_a") + F.length("nc_b")) / 200).cast("long").alias("lcs"), F.round("r", 6).alias("ratio"))
 
 
 @query(f"WITH {CAND} SELECT s1, cand, {LCS.format(a='nc_a', b='nc_b')} AS lcs FROM cand")
@@ -629,15 +630,8 @@ def ce_fold_combine(spark, d):
     return both.where((F.col("s1") % 3 > 0) | (F.col("fold") != F.col("s1") % 2)).groupBy("s1", "cand").agg(F.round(F.avg("ce"), 6).alias("ce"))
 
 
-@query(f"WITH {SP} SELECT s1, cand, CASE WHEN y = 0 AND cand % 7 > 0 AND cand NOT IN (SELECT cand FROM truth) THEN CAST(3 AS DOUBLE) ELSE 1 END AS w FROM sp WHERE cand % 7 > 0")
-def weights_distractor(spark, d):
-    sp = V.scored_pairs(spark, d)
-    return M.distractor_weight(sp.where("cand % 7 > 0"), truth_of(sp), 3.0).select("s1", "cand", "w")
-
-
 @query(f"WITH {SP} SELECT s1, cand, CASE WHEN y = 0 AND cand NOT IN (SELECT cand FROM truth) THEN CAST(3 AS DOUBLE) ELSE 1 END AS w FROM sp")
 def weights_distractor_all(spark, d):
-    """weights_distractor over all scored pairs; that one and its SQL leave out candidates divisible by 7."""
     sp = V.scored_pairs(spark, d)
     return M.distractor_weight(sp, truth_of(sp), 3.0).select("s1", "cand", "w")
 
@@ -695,3 +689,127 @@ SIMPLE = f"""{CAND}, flag AS (SELECT s1, cand, round(0.05 + 0.6 * coalesce(len(l
 def flagship_resolve(spark, d):
     pairs = D.expected_f(V.simple_score(V.candidates(spark, d)))
     return R.result_lists(pairs, V.entities(spark, d).where("src = 1").select(F.col("id").alias("s1")))
+
+
+# ---------------------------------------------------------------- the pair frame and the whole resolution
+MASK = f"""{CAND}, q AS (SELECT s1, cand, cand % 4 = 0 AS gone, af_a AS x, af_b AS y, {_sorted('af_a')} AS xs, {_sorted('af_b')} AS ys, replace(nj_a, ' ', '') AS u, replace(nj_b, ' ', '') AS v FROM cand),
+z AS (SELECT *, {LCS.format(a='x', b='y')} AS l, {LCS.format(a='xs', b='ys')} AS ls, {LCS.format(a='u', b='v')} AS ld FROM q)"""
+
+
+@query(f"""WITH {MASK} SELECT s1, cand, CASE WHEN NOT gone THEN round(200.0 * l / (length(x) + length(y)), 6) END AS a_ratio, CASE WHEN NOT gone THEN round(200.0 * ls / (length(xs) + length(ys)), 6) END AS a_tsort,
+CASE WHEN u <> '' AND v <> '' AND NOT gone THEN round(200.0 * ld / (length(u) + length(v)), 6) END AS d_ratio FROM z""")
+def address_similarities(spark, d):
+    """Null unless both addresses are known: every fourth candidate is taken without one."""
+    known = lambda c: F.when(F.col("cand") % 4 == 0, "").otherwise(c)
+    digits = {f"digits_{e}": F.replace(f"nj_{e}", F.lit(" "), F.lit("")) for e in "ab"}
+    c = V.candidates(spark, d).withColumns(digits).withColumns({"af_b": known(F.col("af_b")), "digits_b": known(F.replace("nj_b", F.lit(" "), F.lit("")))})
+    return X.similarity_features(c, ["a_ratio", "a_tsort", "d_ratio"]).select("s1", "cand", *r6("a_ratio", "a_tsort", "d_ratio"))
+
+
+SIDED = f"""{DIFFS}, e AS (SELECT s1, cand, country, agree, 'extra' AS side, unnest(extra) AS token FROM dif UNION ALL SELECT s1, cand, country, agree, 'missing', unnest(missing) FROM dif),
+d23 AS (SELECT country, token, count(*) AS df FROM (SELECT country, unnest(list_distinct({TOK.format('nf')})) AS token FROM rec WHERE src > 1) GROUP BY ALL),
+q AS (SELECT s1, cand, e.side, coalesce(st.n, 0) - CASE WHEN agree IS NULL THEN 0 ELSE 1 END AS n, coalesce(st.n_agree, 0) - coalesce(agree, 0) + 10 * coalesce(prior, 0.5) AS up, coalesce(df, 0) AS df
+FROM e LEFT JOIN st ON st.country = e.country AND st.token = e.token AND st.side = e.side LEFT JOIN pr ON pr.country = e.country LEFT JOIN d23 ON d23.country = e.country AND d23.token = e.token),
+w AS (SELECT s1, cand, side, min(up / (n + 10)) AS least, avg(up / (n + 10)) AS mean, ln(1 + CASE WHEN min(n) < 0 THEN 0 ELSE min(n) END) AS lcnt, ln(1 + max(df)) AS df FROM q GROUP BY ALL)"""
+
+
+@query(f"""WITH {SIDED} SELECT s1, cand, round(max(CASE WHEN side = 'extra' THEN least END), 6) AS tx_agree_min, round(max(CASE WHEN side = 'extra' THEN mean END), 6) AS tx_agree_mean, round(max(CASE WHEN side = 'missing' THEN least END), 6) AS tm_agree_min,
+round(max(CASE WHEN side = 'extra' THEN lcnt END), 6) AS tx_lcnt_min, round(max(CASE WHEN side = 'missing' THEN lcnt END), 6) AS tm_lcnt_min, round(max(CASE WHEN side = 'extra' THEN df END), 6) AS tx_df_max, round(max(CASE WHEN side = 'missing' THEN df END), 6) AS tm_df_max FROM w GROUP BY s1, cand""")
+def token_evidence(spark, d):
+    return X.token_evidence(_diffs(spark, d), X.document_frequency(V.simple_records(spark, d))).select("s1", "cand", *r6(*X.TOKEN_FEATURES))
+
+
+GAPPED = {"c_tset": "CASE WHEN cand % 6 > 0 THEN CAST((s1 * 5 + cand * 3) % 83 AS DOUBLE) END", "a_tset": "CAST((s1 + cand * 7) % 71 AS DOUBLE)", "cp_partial": "CAST((s1 * 2 + cand * 11) % 61 AS DOUBLE)"}
+
+
+@query(f"WITH {CTX}, v AS (SELECT s1, cand, n_ratio, {', '.join(f'{e} AS {c}' for c, e in GAPPED.items())} FROM ctx) SELECT s1, cand, {', '.join(f'max({c}) OVER (PARTITION BY s1) - {c} AS {c}_gap' for c in X.GAPS)} FROM v")
+def ctx_gaps(spark, d):
+    c = V.context_pairs(spark, d).withColumns({c: F.expr(e) for c, e in GAPPED.items()})
+    return P.context(c, X.GAPS).select("s1", "cand", *[f"{c}_gap" for c in X.GAPS])
+
+
+def _sides_sql(end, key, name):
+    flags = f"CAST(af_{end} = '' AS INTEGER) AS aemp_{name}, CAST({key} % 3 = 0 AS INTEGER) AS dom_{name}, CAST(len(string_split(nc_{end}, ' ')) AS INTEGER) AS ntok_{name}, CAST(CASE WHEN af_{end} = '' THEN 0 ELSE len(string_split(af_{end}, ' ')) END AS INTEGER) AS alen_{name}"
+    return f"{flags}, n{end}.n1 AS fq_n1_{name}, n{end}.n23 AS fq_n23_{name}, CASE WHEN af_{end} <> '' THEN a{end}.n1 END AS fq_a1_{name}, CASE WHEN af_{end} <> '' THEN a{end}.n23 END AS fq_a23_{name}"
+
+
+def _counts_sql(name, key):
+    return f"{name} AS (SELECT country, {key}, count(CASE WHEN src = 1 THEN 1 END) AS n1, count(CASE WHEN src > 1 THEN 1 END) AS n23 FROM rec GROUP BY ALL)"
+
+
+@query(f"""WITH {CAND}, {_counts_sql('fn', 'nc')}, {_counts_sql('fa', 'af')} SELECT s1, cand, {_sides_sql('a', 's1', 's1')}, {_sides_sql('b', 'cand', 'c')}, src_b AS src_c, CAST(cand % 2 = 0 AS INTEGER) AS nl_name_c, CAST(cand % 5 = 1 AS INTEGER) AS nl_addr_c
+FROM cand c JOIN fn na ON na.country = c.country AND na.nc = nc_a JOIN fn nb ON nb.country = c.country AND nb.nc = nc_b JOIN fa aa ON aa.country = c.country AND aa.af = af_a JOIN fa ab ON ab.country = c.country AND ab.af = af_b""")
+def record_sides(spark, d):
+    """Flags and frequencies of both sides; whether a name is a domain or in another script stands in by arithmetic."""
+    rec = V.simple_records(spark, d).withColumns({"ns": F.col("nj"), "dom": F.col("id") % 3 == 0, "nl_name": F.col("id") % 2 == 0, "nl_addr": F.col("id") % 5 == 1})
+    both = X.attach(V.candidates(spark, d).select("s1", "cand"), X.describe(rec))
+    return both.select("s1", "cand", *[c.alias(name) for name, c in X.record_features().items()])
+
+
+@query(f"WITH {CAND} SELECT s1, cand, nb.name || ' Ж' AS native, na.name AS latin FROM cand JOIN ent na ON na.id = s1 JOIN ent nb ON nb.id = cand WHERE cand % 2 = 1")
+def native_join(spark, d):
+    e = V.entities(spark, d)
+    pool = e.select("id", F.when(F.col("id") % 2 == 1, F.concat("name", F.lit(" Ж"))).otherwise(F.col("name")).alias("name"))
+    return P.native_pairs(V.candidates(spark, d).select("s1", "cand"), pool, e.select("id", "name"))
+
+
+SPOKEN = "CASE t " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in W.FRENCH_LEGAL.items()) + " ELSE t END"
+
+
+@query(f"WITH {REC} SELECT id, array_to_string(list_transform({TOK.format(chr(39) + 'compagnie ' + chr(39) + ' || nf || ' + chr(39) + ' et fils sarl' + chr(39))}, lambda t: {SPOKEN}), ' ') AS name FROM rec")
+def noise_language(spark, d):
+    french = F.concat(F.lit("compagnie "), "nf", F.lit(" et fils sarl"))
+    return V.simple_records(spark, d).select("id", F.array_join(P.one_language(N.tokens(french), W.FRENCH_LEGAL), " ").alias("name"))
+
+
+THRESHOLDS = [0.2, 0.35, 0.5, 0.65, 0.8]
+
+
+@query(f"""WITH {SP}, g AS (SELECT CAST(unnest({THRESHOLDS}) AS DOUBLE) AS thr), x AS (SELECT i.s1, thr, count(o.cand) AS np, count(t.cand) AS tp FROM ids i CROSS JOIN g LEFT JOIN {owned('sp')} o ON o.s1 = i.s1 AND o.p >= thr
+LEFT JOIN truth t ON t.s1 = o.s1 AND t.cand = o.cand GROUP BY i.s1, thr) SELECT thr, round(avg(CASE WHEN np = 0 AND nt IS NULL THEN 1.0 WHEN tp = 0 THEN 0.0 ELSE 1.25 * (tp / np) * (tp / nt) / (0.25 * (tp / np) + tp / nt) END), 6) AS f
+FROM x LEFT JOIN (SELECT s1, count(*) AS nt FROM truth GROUP BY s1) n ON n.s1 = x.s1 GROUP BY thr""")
+def threshold_tune(spark, d):
+    sp = V.scored_pairs(spark, d)
+    return D.tune_thresholds(sp, truth_of(sp), sp.select("s1").distinct(), THRESHOLDS).select("thr", *r6("f"))
+
+
+@query(f"WITH {SP}, cal AS (SELECT s1, cand, 1 / (1 + exp(-(1.4 * ln(c / (1 - c)) - 2.5))) AS p FROM (SELECT s1, cand, {CLIP} AS c FROM sp)) SELECT s1, cand FROM {chosen('cal')}")
+def decide_default(spark, d):
+    """The written rule of a run's settings."""
+    rule = E.Config()
+    return D.expected_f(V.scored_pairs(spark, d).select("s1", "cand", D.calibrate(F.col("p"), rule.a, rule.b).alias("p")))
+
+
+@query(f"WITH {SP}, x AS (SELECT s1, cand FROM {owned('sp')} WHERE p >= 0.5) SELECT round(avg(f), 6) AS f FROM {f05_sql('x')}")
+def stage_one_half(spark, d):
+    sp = V.scored_pairs(spark, d)
+    return D.f05(D.threshold(sp, 0.5).select("s1", "cand"), truth_of(sp), sp.select("s1").distinct()).agg(F.round(F.avg("f"), 6).alias("f"))
+
+
+#: Settings small enough for the test tables.
+SMALL = E.Config(folds=2, rounds=2, depth=3, step=0.3, bins=64, blocks=2)
+
+
+def _held():
+    """Frames that are read more than once stay in memory or on disk; lost ones are worked out again."""
+    kept: dict = {}
+
+    def hold(df, name):
+        return kept.setdefault(name, df.persist())
+
+    return hold
+
+
+@query()
+def pair_frame(spark, d):
+    """All 73 features of retrieved candidates, from raw records."""
+    return E.prepare(V.entities(spark, d).select("id", "src", "country", "name", "addr"), SMALL, _held())
+
+
+@query()
+def resolve_trees(spark, d):
+    """Raw records through retrieval, pair frame, both stages and the written rule; true pairs share country and brand."""
+    records, hold = V.entities(spark, d), _held()
+    frame = E.prepare(records.select("id", "src", "country", "name", "addr"), SMALL, hold)
+    model = E.train(frame, V.candidates(spark, d).select("s1", "cand"), SMALL, hold=hold)
+    return E.resolve(frame, model, records.where("src = 1").select(F.col("id").alias("s1")))
