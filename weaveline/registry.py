@@ -730,15 +730,12 @@ def ctx_gaps(spark, d):
 
 def _sides_sql(end, key, name):
     flags = f"CAST(af_{end} = '' AS INTEGER) AS aemp_{name}, CAST({key} % 3 = 0 AS INTEGER) AS dom_{name}, CAST(len(string_split(nc_{end}, ' ')) AS INTEGER) AS ntok_{name}, CAST(CASE WHEN af_{end} = '' THEN 0 ELSE len(string_split(af_{end}, ' ')) END AS INTEGER) AS alen_{name}"
-    return f"{flags}, n{end}.n1 AS fq_n1_{name}, n{end}.n23 AS fq_n23_{name}, CASE WHEN af_{end} <> '' THEN a{end}.n1 END AS fq_a1_{name}, CASE WHEN af_{end} <> '' THEN a{end}.n23 END AS fq_a23_{name}"
+    return f"{flags}, f{end}.fq_n1 AS fq_n1_{name}, f{end}.fq_n23 AS fq_n23_{name}, f{end}.fq_a1 AS fq_a1_{name}, f{end}.fq_a23 AS fq_a23_{name}"
 
 
-def _counts_sql(name, key):
-    return f"{name} AS (SELECT country, {key}, count(CASE WHEN src = 1 THEN 1 END) AS n1, count(CASE WHEN src > 1 THEN 1 END) AS n23 FROM rec GROUP BY ALL)"
-
-
-@query(f"""WITH {CAND}, {_counts_sql('fn', 'nc')}, {_counts_sql('fa', 'af')} SELECT s1, cand, {_sides_sql('a', 's1', 's1')}, {_sides_sql('b', 'cand', 'c')}, src_b AS src_c, CAST(cand % 2 = 0 AS INTEGER) AS nl_name_c, CAST(cand % 5 = 1 AS INTEGER) AS nl_addr_c
-FROM cand c JOIN fn na ON na.country = c.country AND na.nc = nc_a JOIN fn nb ON nb.country = c.country AND nb.nc = nc_b JOIN fa aa ON aa.country = c.country AND aa.af = af_a JOIN fa ab ON ab.country = c.country AND ab.af = af_b""")
+@query(f"""WITH {CAND}, fr AS MATERIALIZED (SELECT id, count(CASE WHEN src = 1 THEN 1 END) OVER n AS fq_n1, count(CASE WHEN src > 1 THEN 1 END) OVER n AS fq_n23, CASE WHEN af <> '' THEN count(CASE WHEN src = 1 THEN 1 END) OVER a END AS fq_a1,
+CASE WHEN af <> '' THEN count(CASE WHEN src > 1 THEN 1 END) OVER a END AS fq_a23 FROM rec WINDOW n AS (PARTITION BY country, nc), a AS (PARTITION BY country, af))
+SELECT s1, cand, {_sides_sql('a', 's1', 's1')}, {_sides_sql('b', 'cand', 'c')}, src_b AS src_c, CAST(cand % 2 = 0 AS INTEGER) AS nl_name_c, CAST(cand % 5 = 1 AS INTEGER) AS nl_addr_c FROM cand JOIN fr fa ON fa.id = s1 JOIN fr fb ON fb.id = cand""")
 def record_sides(spark, d):
     """Flags and frequencies of both sides; whether a name is a domain or in another script stands in by arithmetic."""
     rec = V.simple_records(spark, d).withColumns({"ns": F.col("nj"), "dom": F.col("id") % 3 == 0, "nl_name": F.col("id") % 2 == 0, "nl_addr": F.col("id") % 5 == 1})
