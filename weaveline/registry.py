@@ -15,6 +15,7 @@ from weaveline.operators import pairs as P
 from weaveline.operators import records as R
 from weaveline.plans import resolve as E
 from weaveline.plans import views as V
+from weaveline.sources.tsv import held
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -787,26 +788,16 @@ def stage_one_half(spark, d):
 SMALL = E.Config(folds=2, rounds=2, depth=3, step=0.3, bins=64, blocks=2)
 
 
-def _held():
-    """Frames that are read more than once stay in memory or on disk; lost ones are worked out again."""
-    kept: dict = {}
-
-    def hold(df, name):
-        return kept.setdefault(name, df.persist())
-
-    return hold
-
-
 @query()
 def pair_frame(spark, d):
     """All 73 features of retrieved candidates, from raw records."""
-    return E.prepare(V.entities(spark, d).select("id", "src", "country", "name", "addr"), SMALL, _held())
+    return E.prepare(V.entities(spark, d).select("id", "src", "country", "name", "addr"), SMALL, held(spark))
 
 
 @query()
 def resolve_trees(spark, d):
     """Raw records through retrieval, pair frame, both stages and the written rule; true pairs share country and brand."""
-    records, hold = V.entities(spark, d), _held()
+    records, hold = V.entities(spark, d), held(spark)
     frame = E.prepare(records.select("id", "src", "country", "name", "addr"), SMALL, hold)
     model = E.train(frame, V.candidates(spark, d).select("s1", "cand"), SMALL, hold=hold)
     return E.resolve(frame, model, records.where("src = 1").select(F.col("id").alias("s1")))
