@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import FOLD, bound_batches, by_bytes, fold_ascii, publish, shuffle_width
+from .shared import FOLD, bound_batches, by_bytes, fold_ascii, publish, shuffle_width, trimmed
 
 KEY_BITS = 60
 
@@ -201,9 +201,9 @@ def build_index(docs: DataFrame, bucket_bytes: int = 2 << 20, most_buckets: int
     total = keys.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     directory = build_directory(keys, max(bucket_bytes, total // most_buckets))
     starts = directory.starts()
-    entries = rows.select("id", F.col("text").cast("binary").alias("text")).mapInArrow(fold_copies(starts), ENTRY)
+    entries = rows.select("id", F.col("text").cast("binary").alias("text")).mapInArrow(trimmed(fold_copies(starts)), ENTRY)
     owners = entries.repartition(max(shuffle_width(spark), 1), "bucket").sortWithinPartitions("bucket", "key")
-    return publish(owners.mapInArrow(own_buckets, INDEX), "dedup-index")
+    return publish(owners.mapInArrow(trimmed(own_buckets), INDEX), "dedup-index")
 
 
 def _looked_up(docs: DataFrame, index: DataFrame, id_col: str, text_col: str, columns: dict[str, str]) -> DataFrame:

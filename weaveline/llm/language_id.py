@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bound_batches, by_bytes
+from .shared import bound_batches, by_bytes, trimmed
 
 UNKNOWN = "und"
 #: Bytes to symbols: A-Z as a-z 1..26, bytes from 128 up 27..154, any other byte 0 (a gap).
@@ -176,6 +176,6 @@ def identify(docs: DataFrame, per_lang: int = 300, longest: int = 20_000, landma
     carried = {c: f"__k{i}" for i, c in enumerate(keep) if c != text_col}
     kept = docs.select(F.col(text_col).cast("string").alias("__t"), F.col(id_col).alias("__id"), held_out(id_col).alias("__held"), *[F.col(c).alias(k) for c, k in carried.items()])
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema.fields[first:])
-    rows = kept.mapInArrow(run, f"lang_pred string, score double, {fields}")
+    rows = kept.mapInArrow(trimmed(run), f"lang_pred string, score double, {fields}")
     text = F.col("__t").cast(docs.schema[text_col].dataType) if not first else None
     return rows.select(F.col("__id").alias(id_col), F.col("__held").alias("held_out"), "lang_pred", "score", *[(text if c == text_col else F.col(carried[c])).alias(c) for c in keep])

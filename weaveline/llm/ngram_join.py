@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .prefix_tree import Groups, join_block
-from .shared import bound_batches, by_bytes, publish, shuffle_width
+from .shared import bound_batches, by_bytes, publish, shuffle_width, trimmed
 from .word_sets import mix, sets_of
 
 #: Kinds of rows: key and component, or a component and the first of those it is tied to; document and component; document and number of shingles; document and equal document.
@@ -267,7 +267,7 @@ def _exact(members: DataFrame, block_bytes: int) -> DataFrame:
     rows = rows.withColumn("with", F.explode(F.when(F.col("blocks") <= 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
     rows = rows.select("cluster", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "doc", "comp", "t")
     width = shuffle_width(members.sparkSession)
-    return rows.repartition(width, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "doc").mapInArrow(_join_groups, "a long, b long")
+    return rows.repartition(width, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "doc").mapInArrow(trimmed(_join_groups), "a long, b long")
 
 
 def link_components(docs: DataFrame, block_bytes: int = 12 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -279,8 +279,8 @@ def link_components(docs: DataFrame, block_bytes: int = 12 << 20, id_col: str =
     order = spark.sparkContext.broadcast(common_ngrams(rows))
     width = shuffle_width(spark)
 
-    local = rows.mapInArrow(_local(order), ROW).repartition(max(1, width // WIDE), "kind", "key").sortWithinPartitions("kind", "key", "value")
-    found = publish(local.mapInArrow(_ties, MET), "ngram-ties")
+    local = rows.mapInArrow(trimmed(_local(order)), ROW).repartition(max(1, width // WIDE), "kind", "key").sortWithinPartitions("kind", "key", "value")
+    found = publish(local.mapInArrow(trimmed(_ties), MET), "ngram-ties")
     of = lambda kind, a, b: found.where(F.col("kind") == kind).select(F.col("key").alias(a), F.col("value").alias(b))
     member = of(MEMBER, "id", "comp")
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +51,24 @@ def bound_batches(spark: SparkSession, most: str = "8m") -> None:
         spark.conf.set(BATCH_BYTES, most)
 
 
+def trimmed(run: Callable) -> Callable:
+    """run, a mapInArrow function, which at its end gives freed memory back to the system.
+
+    Workers are kept for later tasks and stages; without this each holds on to the peak of all it has run.
+    """
+
+    def each(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+            if trim:
+                trim(0)
+
+    return each
+
+
 def by_bytes(batch: pa.RecordBatch, column: int, most_bytes: int, most_rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
     """Slices of a batch that hold most_bytes of one column, or one row where that alone is larger."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
