@@ -12,7 +12,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-from weaveline.llm.chain_dedup import Fenwick, align, chain, common, fuzzy_passages, passages
+from weaveline.llm.chain_dedup import Fenwick, _runs, align, chain, common, fuzzy_passages, passage_links, passages
 from weaveline.llm.decontaminate import contaminated
 from weaveline.llm.exact_dedup import Chain, Directory, exact_groups, keep_one
 from weaveline.llm.html_text import extract_pages, main_text
@@ -600,6 +600,38 @@ def test_passages_whose_parts_have_other_holders(spark):
     assert 0 < fuzzy_passages(spark.createDataFrame([(i, t, None, None, None) for i, t in again], DOCS)).count() < 30
 
 
+def test_links_of_all_holders_of_a_passage(spark):
+    rng, rows = random.Random(21), []
+    for size in (60, 75, 130, 52):
+        p = prose(size, rng).split()
+        wider = prose(70, rng).split() + p + prose(70, rng).split()
+        near = list(wider)
+        for at in range(70, 70 + size, 9):
+            near[at] = "z" + near[at]
+        parts = [p[:30], p[:30], p[25:], p[25:], p, near, wider, wider, p[:51], p, p[-51:], wider[40:130]]
+        rows += [" ".join([prose(rng.randint(5, 40), rng), *part, prose(rng.randint(5, 40), rng)]) for part in parts]
+    unit = prose(20, rng).split()
+    rows += [" ".join([*(unit * n)[cut:], prose(30, rng)]) for n in (4, 9, 30) for cut in (0, 7, 13)] + ["b " * 300 + prose(9, rng), prose(9, rng) + " b" * 90]
+    held = collections.defaultdict(set)
+    for i, t in enumerate(rows):
+        w = t.split()
+        for k in range(len(w) - 49):
+            held[tuple(w[k : k + 50])].add(i)
+    need = {(b, a) for docs in held.values() for a in docs for b in docs if a < b}
+    found = fuzzy_passages(spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(rows)], DOCS))
+    runs = found.where("source_word is not null")
+    assert need == {tuple(r) for r in passage_links(runs).collect()} <= {tuple(r) for r in passage_links(found).collect()}
+    assert len(need) > 100 and runs.count() < 120
+
+
+def test_runs_keep_each_place_of_the_source():
+    places = [*range(100, 110), *range(40, 60), *range(200, 260), *range(40, 60)]
+    rows = [(2, 1, k, k, k + 50, y, y, y + 50) for k, y in enumerate(places)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["doc", "other", "word", "byte", "stop", "other_word", "other_byte", "other_stop"])
+    got = [(r["start"], r["other_word"], r["n_words"]) for part in _runs([batch]) for r in part.to_pylist()]
+    assert got == [(0, 100, 59), (10, 40, 69), (30, 200, 109), (90, 40, 69)]
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
