@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -18,10 +19,11 @@ from weaveline.llm.exact_dedup import Chain, Directory, exact_groups, keep_one
 from weaveline.llm.html_text import extract_pages, main_text
 from weaveline.llm.language_id import identify
 from weaveline.llm.ngram_join import SIZE, SLACK, TIE, Order, _ties, key_prefix, link_components, sent_length
-from weaveline.llm.piece_codec import Encoder, decode_documents, encode_documents, merge_pieces
+from weaveline.llm.piece_codec import Encoder, coder_of, decode_documents, encode_documents, merge_pieces
 from weaveline.llm.piece_model import vocabulary
 from weaveline.llm.prefix_tree import join_block
 from weaveline.llm.queries import piece_model
+from weaveline.llm.shared import trimmed
 from weaveline.llm.suffix_dedup import remove_repeats, repeated_windows
 from weaveline.llm.token_counts import Counter, count_tokens
 from weaveline.llm.url_filter import RULES, judge_urls
@@ -347,6 +349,26 @@ def test_join_block():
     assert join_block(sets) == brute_components([frozenset(s.tolist()) for s in sets])
 
 
+def test_join_block_memory():
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 62, (25, 4000)).astype(np.uint64)
+    make = lambda: [np.unique(np.append(base[i % 25, 40:], rng.integers(0, 1 << 62, 40).astype(np.uint64))) for i in range(200)]
+    tracemalloc.start()
+    try:
+        label = join_block(make())
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert label == [i % 25 for i in range(200)]
+    assert peak < 50 * 200 * 4000
+
+
+def test_other_operators_drop_what_the_codec_keeps():
+    coder_of(piece_model()).encode(b"some text")
+    assert list(trimmed(lambda batches: batches)(iter([1]))) == [1]
+    assert coder_of.cache_info().currsize == 0
+
+
 def brute_repeats(rows, length):
     seen = collections.Counter(b[s : s + length] for _, b in rows for s in range(len(b) - length + 1))
     out = {}

@@ -233,6 +233,13 @@ def _ties(batches):
     yield from tell(*forest.settle())
 
 
+def _sets_from(texts: list[bytes]) -> list[np.ndarray]:
+    """sets_of texts, which are let go."""
+    sets = sets_of(texts)
+    texts.clear()
+    return sets
+
+
 def _join_groups(batches):
     """mapInArrow function of step 4: rows sorted by cluster and block pair; links of each group."""
     at, ids, comps, texts = None, [], [], []
@@ -240,7 +247,7 @@ def _join_groups(batches):
     def close():
         place: dict[int, int] = {}
         known = [place.setdefault(c, i) for i, c in enumerate(comps)]
-        label = join_block(sets_of(texts), known)
+        label = join_block(_sets_from(texts), known)
         pairs = {(ids[i], ids[r]) for i, r in enumerate(label) if i != r}
         if pairs:
             a, b = zip(*sorted(pairs))

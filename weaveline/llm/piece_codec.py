@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .piece_model import SPACE, Memo, Vocabulary, vocabulary
-from .shared import bound_batches, by_bytes
+from .shared import bound_batches, by_bytes, kept_in_worker
 
 
 def merge_pieces(text: str, vocab: Vocabulary, least: int = 1) -> list[str]:
@@ -232,9 +232,10 @@ class Encoder:
         return raw[1:] if raw[:1] == b" " else raw
 
 
+@kept_in_worker
 @functools.lru_cache(maxsize=1)
 def coder_of(blob: bytes) -> Encoder:
-    """One per worker process, so that a task finds what earlier ones have worked out."""
+    """One per worker process, so that a task finds what earlier ones of this operator have worked out."""
     return Encoder(vocabulary(blob))
 
 

@@ -109,6 +109,19 @@ class Trie:
                 stack.extend((kid, depth, shared) for kid in node.kids.values())
 
 
+def _starts(token: np.ndarray) -> np.ndarray:
+    """Where runs of equal tokens begin."""
+    new = np.ones(len(token), bool)
+    np.not_equal(token[1:], token[:-1], out=new[1:])
+    return np.flatnonzero(new)
+
+
+def _held(token: np.ndarray) -> np.ndarray:
+    """For each of ascending tokens how often it occurs."""
+    many = np.diff(_starts(token), append=len(token)).astype(np.int32)
+    return np.repeat(many, many)
+
+
 def join_block(sets: list[np.ndarray], known: list[int] | None = None) -> list[int]:
     """For each set the smallest index in its component of Jaccard >= 0.8 links.
 
@@ -117,37 +130,39 @@ def join_block(sets: list[np.ndarray], known: list[int] | None = None) -> list[i
     n-grams of its own as its prefix is long has no partner here and leaves at once, which may
     leave others without one.
     """
-    groups = Groups(len(sets))
+    n = len(sets)
+    groups = Groups(n)
     for i, j in enumerate(known or []):
         groups.join(i, j)
     sizes = np.array([len(s) for s in sets], np.int64)
-    prefix = np.array([prefix_length(int(n)) for n in sizes], np.int64)
+    prefix = np.array([prefix_length(int(k)) for k in sizes], np.int64)
     token = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-    owner = np.repeat(np.arange(len(sets)), sizes)
+    del sets
+    owner = np.repeat(np.arange(n, dtype=np.int32), sizes)
     order = np.argsort(token, kind="stable")
     token, owner = token[order], owner[order]
+    del order
     while True:
-        new = np.ones(len(token), bool)
-        new[1:] = token[1:] != token[:-1]
-        number = np.cumsum(new) - 1
-        count = np.bincount(number) if len(number) else np.zeros(0, np.int64)
-        common = count[number] > 1
-        token, owner, held = token[common], owner[common], count[number][common]
-        shared = np.bincount(owner, minlength=len(sets))
+        held = _held(token)
+        common = held > 1
+        token, owner, held = token[common], owner[common], held[common]
+        shared = np.bincount(owner, minlength=n)
         stays = (sizes - shared < prefix)[owner]
         if stays.all():
             break
         token, owner = token[stays], owner[stays]
+    del common, stays
     if not len(token):
-        return [groups.find(i) for i in range(len(sets))]
-    new = np.ones(len(token), bool)
-    new[1:] = token[1:] != token[:-1]
-    start = np.flatnonzero(new)
-    rank = np.empty(len(start), np.int64)
-    rank[np.lexsort((token[start], held[start]))] = np.arange(len(start))
-    rank = rank[np.cumsum(new) - 1]
+        return [groups.find(i) for i in range(n)]
+    start = _starts(token)
+    many = np.diff(start, append=len(token))
+    place = np.empty(len(start), np.int32)
+    place[np.lexsort((token[start], held[start]))] = np.arange(len(start))
+    del token, held
+    rank = np.repeat(place, many)
     order = np.lexsort((rank, owner))
-    rank, owner = rank[order], owner[order]
+    rank, owner = rank[order].astype(np.int64), owner[order]
+    del order
     items = np.unique(owner)
     cut = np.append(np.searchsorted(owner, items), len(owner))
     lists = [rank[a:b] for a, b in zip(cut[:-1], cut[1:])]
@@ -165,4 +180,4 @@ def join_block(sets: list[np.ndarray], known: list[int] | None = None) -> list[i
             met = np.unique(np.concatenate(met))
             trie.join(i, x, alone[k], set(lead[met[met < k]].tolist()))
         trie.insert(i, x, alone[k])
-    return [groups.find(i) for i in range(len(sets))]
+    return [groups.find(i) for i in range(n)]
